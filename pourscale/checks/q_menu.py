@@ -29,7 +29,7 @@ V["lf"] = (["lf0"], r"""
     CASE WHEN is_triple THEN CAST(regexp_extract_all(line, '\d+')[-1] AS INTEGER) END AS t3,
     CASE WHEN is_dual THEN CAST(regexp_extract(line, '(\d{1,3})/(\d{1,3})', 1) AS INTEGER) END AS d1,
     CASE WHEN is_dual THEN CAST(regexp_extract(line, '(\d{1,3})/(\d{1,3})', 2) AS INTEGER) END AS d2,
-    CASE WHEN len(nums) > 0 THEN regexp_extract(line, '^(.*?)[$]?' || replace(nums[-1], '.', '[.]') || '[^0-9]*$', 1) END AS last_before,
+    CASE WHEN len(nums) > 0 THEN regexp_extract(line, '^(.*?)[$]?' || replace(nums[-1], '.', '[.]') || '[^0-9]*(/[0-9])?$', 1) END AS last_before,
     CASE WHEN len(nums) > 1 THEN regexp_extract(line, '^(.*?)[$]?' || nums[-2] || '[^0-9]+' || nums[-1] || '[^0-9]*$', 1) END AS prev_before
   FROM lf0""")
 V["sec"] = (["lf"], """
@@ -181,14 +181,12 @@ pass_query("parse_two_line", "c_next", m.two_line_candidates, "true")
 
 @register("add_entry", s.q("e_first0", f"SELECT {_SQLCOLS}, step, sub FROM e_first0"))
 def _(spark, sf):
-    every = F.concat(m.one_line_candidates(), F.coalesce(m.three_line_candidates(), m._none()))
-    return m.add_entry(m.candidates(sectioned(spark, sf), every)).select(*_COLS, "step", "sub")
+    return m.add_entry(m.candidates(sectioned(spark, sf), m.first_candidates())).select(*_COLS, "step", "sub")
 
 
 @register("dedupe_entries", s.q("e_first", f"SELECT {_SQLCOLS} FROM e_first"))
 def _(spark, sf):
-    every = F.concat(m.one_line_candidates(), F.coalesce(m.three_line_candidates(), m._none()))
-    return m.dedupe_entries(m.add_entry(m.candidates(sectioned(spark, sf), every))).select(*_COLS)
+    return m.dedupe_entries(m.add_entry(m.candidates(sectioned(spark, sf), m.first_candidates()))).select(*_COLS)
 
 
 @register("cap_menu_entries", s.q("entries", f"SELECT {_SQLCOLS} FROM entries QUALIFY row_number() OVER (PARTITION BY menu_id ORDER BY step, line_no, sub) <= 3"))

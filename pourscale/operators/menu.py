@@ -126,6 +126,9 @@ def with_sections(facts: DataFrame, menu: str = "menu_id") -> DataFrame:
     spread = facts.withColumn("_home", block).withColumn(
         "_block", F.explode(F.when(near_start, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home")))
     )
+    # an explicit exchange: input that already lies by menu would keep a big menu in one task,
+    # and the passes of parse_menu all read this one
+    spread = spread.repartition(menu, "_block")
     w = Window.partitionBy(menu, "_block").orderBy("line_no")
     ahead = {
         f"{c}_{i}": F.lead(c, i).over(w) for c in ("line", "prices", "priced", "mark", "dual", "triple") for i in (1, 2)
@@ -248,6 +251,12 @@ def three_line_candidates() -> Column:
     return F.when(ok, F.array(row))
 
 
+def first_candidates() -> Column:
+    """One-line candidates of priced lines, three-line candidates of the others."""
+    three = ~F.col("priced_1") & (F.size("prices_2") > 0)
+    return F.when(F.col("priced"), one_line_candidates()).when(three, three_line_candidates())
+
+
 def two_line_candidates() -> Column:
     """Name line, then a line with the price."""
     line, t, d, p = F.col("line"), F.col("triple_1"), F.col("dual_1"), F.col("prices_1")
@@ -310,11 +319,15 @@ def add_entry(cands: DataFrame, menu: str = "menu_id") -> DataFrame:
 
 
 def dedupe_entries(entries: DataFrame, menu: str = "menu_id", order=("step", "line_no", "sub")) -> DataFrame:
-    """First entry per menu, name head, year and whole price."""
-    w = Window.partitionBy(
-        menu, F.substring(F.lower("name"), 1, 45), "vintage", F.floor("menu_price").cast("int")
-    ).orderBy(*order)
-    return entries.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """First entry per menu, name head, year and whole price; combined on the map side."""
+    rest = [c for c in entries.columns if c not in (menu, "vintage")]
+    return (
+        entries.groupBy(
+            menu, F.substring(F.lower("name"), 1, 45).alias("_head"), "vintage", F.floor("menu_price").cast("int").alias("_whole")
+        )
+        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        .select(menu, "vintage", "_row.*")
+    )
 
 
 def parse_menu(lines: DataFrame, menu: str = "menu_id", strict_consumed: bool = False) -> DataFrame:
@@ -327,17 +340,15 @@ def parse_menu(lines: DataFrame, menu: str = "menu_id", strict_consumed: bool =
     ``strict_consumed`` a three-line entry may not reuse such a price either.
     """
     sectioned = with_sections(line_facts(lines), menu)
-    every = F.concat(
-        one_line_candidates(), F.coalesce(three_line_candidates(), _none()), F.coalesce(two_line_candidates(), _none())
-    )
-    entries = add_entry(candidates(sectioned, every, menu), menu)
-    ones, threes, twos = (entries.where(F.col("step") == i) for i in (1, 2, 3))
+    firsts = add_entry(candidates(sectioned, first_candidates(), menu), menu)
+    twos = add_entry(candidates(sectioned.where(~F.col("priced") & F.col("priced_1")), two_line_candidates(), menu), menu)
     if strict_consumed:
+        ones, threes = firsts.where("step = 1"), firsts.where("step = 2")
         taken = dedupe_entries(ones, menu).select(menu, (F.col("line_no") - 2).alias("line_no")).distinct()
         threes = threes.join(taken, [menu, "line_no"], "left_anti")
         first = dedupe_entries(ones.unionByName(threes), menu)
     else:
-        first = dedupe_entries(entries.where(F.col("step") <= 2), menu)
+        first = dedupe_entries(firsts, menu)
     blocked = first.select(
         menu,
         F.explode(

@@ -9,8 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import sys
+
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+
+# ship the batch functions by value: workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "sort", "set", "jaro")])
 
 
 def _lcs(a: str, b: str) -> int:
@@ -57,18 +64,18 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(len(a), len(b)) // 2 - 1
-    used = [False] * len(b)
+    used = [False] * len(a)
     hits = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
+    for j, ch in enumerate(b):
+        for i in range(max(0, j - reach), min(len(a), j + reach + 1)):
+            if not used[i] and a[i] == ch:
+                used[i] = True
                 hits.append(ch)
                 break
     m = len(hits)
     if not m:
         return 0.0
-    other = [ch for ch, u in zip(b, used) if u]
+    other = [ch for ch, u in zip(a, used) if u]
     swaps = sum(x != y for x, y in zip(hits, other)) // 2
     sim = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if sim <= 0.7:
@@ -77,7 +84,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return sim + prefix * 0.1 * (1 - sim)
 
 
-@F.pandas_udf("struct<ratio double, sort double, set double, jaro double>")
+@F.pandas_udf(_SCORES)
 def pair_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Indel ratio, token-sort, token-set and Jaro-Winkler of two text columns."""
     for left, right in batches:
@@ -92,18 +99,53 @@ def pair_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["ratio", "sort", "set", "jaro"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([None if a is None or b is None else token_set(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([None if a is None or b is None else indel(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+_PARTS = T.StructType(
+    [T.StructField(n, _SCORES) for n in ("name", "producer")]
+    + [T.StructField("aliases", T.ArrayType(_SCORES)), T.StructField("region", T.DoubleType())]
+)
+
+
+@F.pandas_udf(_PARTS)
+def match_parts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """Scores of a query against a product's name, producer, aliases and region in one pass.
+
+    Texts repeat inside a batch, so each pair of texts is scored once per batch.
+    """
+    for q, name, producer, aliases, q_region, region in batches:
+        known: dict = {}
+
+        def four(a, b):
+            hit = known.get((a, b))
+            if hit is None:
+                if a == b:
+                    hit = {"ratio": 1.0, "sort": 1.0, "set": 1.0 if a else 0.0, "jaro": 1.0}
+                else:
+                    hit = {
+                        "ratio": indel(a, b), "sort": indel(_sorted(a), _sorted(b)),
+                        "set": token_set(a, b), "jaro": jaro_winkler(a, b),
+                    }
+                known[(a, b)] = hit
+            return hit
+
+        rows = []
+        for t, n, p, al, qr, r in zip(q, name, producer, aliases, q_region, region):
+            area = None if not qr or not r else four(qr, r)["set"]
+            rows.append((four(t, n), four(t, p), [four(t, x) for x in al], area))
+        yield pd.DataFrame(rows, columns=["name", "producer", "aliases", "region"])
+
+
 def adaptive(scores: Column) -> Column:
     """Length-adaptive ratio: the plain ratio or a slightly discounted token ratio."""
     return F.greatest(scores["ratio"], scores["sort"] * 0.95, scores["set"] * 0.95)
@@ -114,7 +156,7 @@ def word_set(text: Column) -> Column:
 
 
 def token_set_bound(a_words: Column, b_words: Column) -> Column:
-    """Upper bound of the token-set score from word lists alone, 1.0 when it is certain."""
+    """Upper bound of the token-set score from word lists alone; 2.0 when the score is certainly 1."""
     both = F.array_intersect(a_words, b_words)
     la, lb = F.length(F.array_join(a_words, " ")), F.length(F.array_join(b_words, " "))
     common = F.length(F.array_join(both, " "))
@@ -122,4 +164,4 @@ def token_set_bound(a_words: Column, b_words: Column) -> Column:
     by_length = F.lit(2.0) * F.least(la, lb) / (la + lb)
     by_common = F.greatest(F.lit(2.0) * common / (common + la), F.lit(2.0) * common / (common + lb))
     bound = F.when(F.size(both) > 0, F.greatest(by_length, by_common)).otherwise(by_length)
-    return F.when(certain, 1.0).when((la == 0) | (lb == 0), 0.0).otherwise(bound)
+    return F.when(certain, 2.0).when((la == 0) | (lb == 0), 0.0).otherwise(bound)

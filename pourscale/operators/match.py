@@ -8,8 +8,6 @@ share to pass the producer gate and the token test.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pourscale import fixed_values as fv
@@ -112,18 +110,25 @@ def _common_last(words: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    """Trigrams of the padded words, numbered so repeats stay apart."""
+    """Trigrams of the padded words; a repeated one is told apart by its number."""
     per_word = F.transform(
         words,
         lambda w: F.transform(
             F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3))
         ),
     )
-    flat = F.array_sort(F.flatten(per_word))
-    return F.transform(
-        flat,
-        lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(flat, F.lit(1), i + 1), lambda x: x == g))),
+    flat = F.flatten(per_word)
+    once = F.array_distinct(flat)
+    repeats = F.size(flat) - F.size(once)
+    numbered = F.flatten(
+        F.transform(
+            once,
+            lambda g: F.transform(
+                F.sequence(F.lit(1), F.size(F.filter(flat, lambda x: x == g))), lambda i: F.concat(g, i.cast("string"))
+            ),
+        )
     )
+    return F.when(repeats == 0, F.transform(once, lambda g: F.concat(g, F.lit("1")))).otherwise(numbered)
 
 
 def gate_keys(df: DataFrame, words: str, side: str) -> DataFrame:
@@ -146,14 +151,15 @@ def gate_keys(df: DataFrame, words: str, side: str) -> DataFrame:
     lead = F.slice(_common_last(w), F.lit(1), missing + 1)
     edits = F.floor(size * 0.1506).cast("int")
     ordered = F.transform(
-        F.array_sort(F.transform(_grams(w), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda s: s["g"]
+        F.array_sort(F.transform(F.col("_all_grams"), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))),
+        lambda s: s["g"],
     )
-    grams = F.when(edits >= 1, F.slice(ordered, F.lit(1), edits * 3 + 1)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     mine, other = ("Q:", "E:") if side == "q" else ("E:", "Q:")
-    with_size = lambda n: F.transform(grams, lambda g: F.concat(F.lit("G:"), n.cast("string"), F.lit(":"), g))
+    with_size = lambda n: F.transform("_grams", lambda g: F.concat(F.lit("G:"), n.cast("string"), F.lit(":"), g))
     if side == "q":
-        spread = F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), size - edits), size + edits), with_size))
-        spread = F.when(edits >= 1, spread).otherwise(F.array().cast("array<string>"))
+        sizes = F.sequence(F.greatest(F.lit(1), size - edits), size + edits)
+        spread = F.when(F.size("_grams") > 0, F.flatten(F.transform(sizes, with_size))).otherwise(none)
     else:
         spread = with_size(size)
     keys = F.concat(
@@ -161,7 +167,12 @@ def gate_keys(df: DataFrame, words: str, side: str) -> DataFrame:
         F.transform(w, lambda x: F.concat(F.lit(other), x)),
         spread,
     )
-    return df.where(F.size(w) > 0).withColumn("_key", F.explode(keys))
+    staged = (
+        df.where(F.size(w) > 0)
+        .withColumn("_all_grams", F.when(edits >= 1, _grams(w)).otherwise(none))
+        .withColumn("_grams", F.slice(ordered, F.lit(1), edits * 3 + 1))
+    )
+    return staged.withColumn("_key", F.explode(keys)).drop("_all_grams", "_grams")
 
 
 def gate_candidates(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFrame:
@@ -184,8 +195,8 @@ def producer_gate(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFrame
     Subset pairs are decided by word lists; only near-equal ones are scored.
     """
     pairs = gate_candidates(query_texts.select("q_gate").distinct(), catalog_texts.select("gate_text").distinct())
-    sure = pairs.where(F.col("_bound") >= 1.0)
-    open_ = pairs.where(F.col("_bound") < 1.0).where(
+    sure = pairs.where(F.col("_bound") > 1.0)
+    open_ = pairs.where(F.col("_bound") <= 1.0).where(
         sim.token_set_similarity(F.col("q_gate"), F.col("gate_text")) >= GATE
     )
     return sure.unionByName(open_).select("q_gate", "gate_text")
@@ -193,69 +204,47 @@ def producer_gate(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFrame
 
 def candidate_pairs(queries: DataFrame, profiles: DataFrame, gate: str = "strict") -> DataFrame:
     """Query and catalog text pairs worth scoring."""
-    first = F.array_min(F.array_intersect("q_tokens", "tokens"))
-    plain = queries.where(F.size("q_tokens") > 0)
-    bare = queries.where(F.size("q_tokens") == 0)
-    if gate == "strict":
-        # a text without producer has no gate to pass
-        gated, free = plain.where("q_gated"), plain.where(~F.col("q_gated"))
-        passed = producer_gate(queries.where("q_gated"), profiles)
-        left = gated.join(passed, "q_gate").withColumn("_token", F.explode("q_tokens"))
-        right = profiles.withColumn("_token", F.explode("tokens"))
-        tokened = left.join(right, ["gate_text", "_token"]).where(F.col("_token") == first).drop("_token")
-        loose = bare.where("q_gated").join(passed, "q_gate").join(profiles, "gate_text")
-        parts = [tokened, loose, block_on_tokens(free, profiles), _by_words_or_length(bare.where(~F.col("q_gated")), profiles)]
-    else:
-        parts = [block_on_tokens(plain, profiles), _by_words_or_length(bare, profiles)]
     cols = KEY + ["q_tokens", "profile_id", "first_ordinal"] + PROFILE
-    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
-
-
-def _by_words_or_length(queries: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Candidates of texts without significant tokens: any shared word, or
-    lengths within a factor of five (outside it no score reaches the minimum)."""
-    texts = F.concat(F.array("n_name", "n_producer"), F.col("n_aliases"))
-    length_keys = F.transform(texts, lambda t: F.concat(F.lit("L:"), F.length(t).cast("string")))
-    word_keys = F.transform(F.split(F.array_join(texts, " "), " "), lambda w: F.concat(F.lit("W:"), w))
-    n = F.length("q")
-    spread = F.transform(
-        F.sequence(F.ceil(n / 5).cast("int"), (n * 5).cast("int")), lambda i: F.concat(F.lit("L:"), i.cast("string"))
-    )
-    own = F.transform(F.split("q", " "), lambda w: F.concat(F.lit("W:"), w))
-    left = queries.where(n > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(own, spread))))
-    right = profiles.withColumn("_key", F.explode(F.array_distinct(F.concat(word_keys, length_keys))))
-    return left.join(right, "_key").dropDuplicates(KEY + ["profile_id"]).drop("_key")
+    if gate != "strict":
+        return open_candidates(queries, profiles).select(*cols)
+    # pairs meet under (producer text, shared token); a text without tokens meets under an empty one
+    first = F.array_min(F.array_intersect("q_tokens", "tokens"))
+    tokens = F.when(F.size("q_tokens") > 0, F.col("q_tokens")).otherwise(F.array(F.lit("")))
+    left = queries.where("q_gated").join(producer_gate(queries.where("q_gated"), profiles), "q_gate")
+    left = left.withColumn("_token", F.explode(tokens))
+    right = profiles.withColumn("_token", F.explode(F.concat("tokens", F.array(F.lit("")))))
+    gated = left.join(right, ["gate_text", "_token"]).where((F.col("_token") == "") | (F.col("_token") == first))
+    # a text without producer has no gate to pass
+    free = open_candidates(queries.where(~F.col("q_gated")), profiles)
+    return gated.select(*cols).unionByName(free.select(*cols))
 
 
-# ------------------------------------------------------------------ scoring
-def text_scores(pairs: DataFrame) -> DataFrame:
-    """Name, producer and alias scores of (q, n_name, n_producer, n_aliases) rows.
+def open_candidates(queries: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Candidates without the gate: a shared significant token.
 
-    Each distinct text pair is scored once: the pairs of names, producers and
-    aliases go through one scoring step and come back by key.
+    Texts without such tokens are compared by any shared word, or by lengths
+    within a factor of five; outside both no score reaches the minimum.
     """
-    texts = F.array_distinct(F.concat(F.array("n_name", "n_producer"), F.col("n_aliases")))
-    todo = pairs.select("q", F.explode(texts).alias("text")).distinct()
-    scored = todo.withColumn("s", sim.pair_scores(F.col("q"), F.col("text")))
-    wanted = pairs.select("q", "n_name", "n_producer", "n_aliases").distinct()
-    roles = wanted.select(
-        "*",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("name").alias("role"), F.col("n_name").alias("text"))),
-                F.array(F.struct(F.lit("producer").alias("role"), F.col("n_producer").alias("text"))),
-                F.transform("n_aliases", lambda a: F.struct(F.lit("alias").alias("role"), a.alias("text"))),
-            )
-        ).alias("r"),
-    ).select("q", "n_name", "n_producer", "n_aliases", "r.role", "r.text")
-    joined = roles.join(scored, ["q", "text"])
-    return joined.groupBy("q", "n_name", "n_producer", "n_aliases").agg(
-        F.max(F.when(F.col("role") == "name", name_score(F.col("s")))).alias("name_score"),
-        F.max(F.when(F.col("role") == "producer", producer_score(F.col("s")))).alias("producer_score"),
-        F.coalesce(F.max(F.when(F.col("role") == "alias", alias_score(F.col("s")))), F.lit(0.0)).alias("alias_score"),
+    key = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    words = lambda c: F.transform(F.split(c, " "), lambda w: key("W:", w))
+    texts = F.concat(F.array("n_name", "n_producer"), F.col("n_aliases"))
+    right_keys = F.concat(
+        F.transform("tokens", lambda t: key("T:", t)), words(F.array_join(texts, " ")),
+        F.transform(texts, lambda t: key("L:", F.length(t))),
     )
+    n = F.greatest(F.length("q"), F.lit(1))
+    spread = F.transform(F.sequence(F.ceil(n / 5).cast("int"), (n * 5).cast("int")), lambda i: key("L:", i))
+    left_keys = F.when(
+        F.size("q_tokens") > 0, F.transform("q_tokens", lambda t: key("T:", t))
+    ).when(F.col("q") != "", F.concat(words(F.col("q")), spread))
+    left = queries.withColumn("_key", F.explode(F.array_distinct(left_keys)))
+    right = profiles.withColumn("_key", F.explode(F.array_distinct(right_keys)))
+    first = key("T:", F.array_min(F.array_intersect("q_tokens", "tokens")))
+    pairs = left.join(right, "_key").where((F.size("q_tokens") == 0) | (F.col("_key") == first))
+    return pairs.dropDuplicates(KEY + ["profile_id"]).drop("_key")
 
 
+# ------------------------------------------------------------------ scoring
 def name_score(s: Column) -> Column:
     w = fv.NAME_WEIGHTS
     return s["sort"] * w["sort"] + s["set"] * w["set"] + sim.adaptive(s) * w["adaptive"] + s["jaro"] * w["jaro"]
@@ -293,13 +282,19 @@ def structural_bonus(region_score: Column) -> dict[str, Column]:
 
 def match_scores(pairs: DataFrame) -> DataFrame:
     """Score and its parts for candidate pairs (columns of ``candidate_pairs``)."""
-    keys = ["q", "n_name", "n_producer", "n_aliases"]
-    region_pairs = pairs.where("q_region is not null and n_region <> ''").select("q_region", "n_region").distinct()
-    regions = region_pairs.withColumn("region_score", sim.token_set_similarity(F.col("q_region"), F.col("n_region")))
-    out = pairs.join(text_scores(pairs), keys).join(regions, ["q_region", "n_region"], "left")
+    parts = sim.match_parts("q", "n_name", "n_producer", "n_aliases", "q_region", "n_region")
+    s = F.col("_s")
+    out = pairs.withColumn("_s", parts).withColumns(
+        {
+            "name_score": name_score(s["name"]),
+            "producer_score": producer_score(s["producer"]),
+            "alias_score": F.coalesce(F.array_max(F.transform(s["aliases"], alias_score)), F.lit(0.0)),
+            "region_score": s["region"],
+        }
+    )
     out = out.withColumn("base_text", base_text_score()).withColumns(structural_bonus(F.col("region_score")))
     bonus = F.col("vintage_bonus") + F.col("region_bonus") + F.col("varietal_bonus") + F.col("type_bonus")
-    return out.withColumn("score", F.round(F.least(F.lit(1.0), F.col("base_text") + bonus), 9))
+    return out.withColumn("score", F.round(F.least(F.lit(1.0), F.col("base_text") + bonus), 9)).drop("_s")
 
 
 def fuzzy_match(

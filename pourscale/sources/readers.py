@@ -77,10 +77,8 @@ def document_text(df: DataFrame, content_type: Column, url: Column, text: Column
 
 # ------------------------------------------------------------------ offers
 _OFFER_KEYS = ["price", "listPrice", "salePrice", "priceValue", "Price", "AvgPrice", "avgprice", "ValuationPrice"]
-_OFFER = (
-    "struct<" + ", ".join(f"`{k}`: string" for k in _OFFER_KEYS)
-    + ", vintage: string, `price-ebp`: string, `ebp-unit`: string, `merchant-name`: string, name: string>"
-)
+# a map keeps keys that differ only in case apart
+_OFFER = "map<string, string>"
 _LISTS = ["products", "items", "results", "wines", "marketplaceArray", "offers", "prices", "search"]
 
 
@@ -89,16 +87,17 @@ def extract_offers_json(df: DataFrame, payload: Column, keep: list[str], band=fv
     parsed = F.from_json(payload, "struct<" + ", ".join(f"{k}: array<{_OFFER}>" for k in _LISTS) + ">")
     rows = F.coalesce(*[F.when(F.size(parsed[k]) > 0, parsed[k]) for k in _LISTS])
     out = df.select(*keep, F.posexplode(rows).alias("offer_no", "o"))
-    price = F.coalesce(*[tx.money(F.col(f"o.`{k}`")) for k in _OFFER_KEYS + ["price-ebp"]])
+    at = lambda k: F.try_element_at("o", F.lit(k))
+    price = F.coalesce(*[tx.money(at(k)) for k in _OFFER_KEYS + ["price-ebp"]])
     return out.select(
         *keep, "offer_no", F.round(price, 2).cast("decimal(12,2)").alias("price"),
-        F.col("o.vintage").try_cast("int").alias("vintage"), F.col("o.`ebp-unit`").alias("unit"),
-        F.col("o.`merchant-name`").alias("merchant"),
+        F.coalesce(at("vintage"), at("Vintage")).try_cast("int").alias("vintage"), at("ebp-unit").alias("unit"),
+        at("merchant-name").alias("merchant"),
     ).where(F.col("price").between(*band))
 
 
 _LD_BLOCK = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-_LD_OFFER = "struct<price: string, Price: string, lowPrice: string>"
+_LD_OFFER = "map<string, string>"
 _LD_ITEM = (
     "struct<`@type`: string, name: string, url: string, `@id`: string, offers: string, "
     "aggregateRating: struct<ratingValue: string, reviewCount: string, ratingCount: string>, itemListElement: string>"
@@ -120,7 +119,7 @@ def extract_offers_jsonld(df: DataFrame, html: Column, keep: list[str]) -> DataF
     items = tops.select(*keep, F.explode(listed).alias("i"))
     offers = F.from_json(array_of(F.col("i.offers"), None), f"array<{_LD_OFFER}>")
     first = F.get(offers, F.lit(0))
-    price = tx.money(F.coalesce(first["price"], first["lowPrice"]))
+    price = tx.money(F.coalesce(F.try_element_at(first, F.lit("price")), F.try_element_at(first, F.lit("lowPrice"))))
     name = F.trim("i.name")
     url = F.coalesce("i.url", "i.`@id`")
     ext = F.regexp_extract(url, r"/wines/(\d+)", 1)
@@ -181,13 +180,13 @@ def extract_offers_jsonld_prices(html: Column) -> Column:
         F.from_json(as_list(b), "array<struct<offers: string>>"), F.array().cast("array<struct<offers: string>>"))))
     offers = F.flatten(F.transform(tops, lambda t: F.coalesce(
         F.from_json(as_list(t["offers"]), f"array<{_LD_OFFER}>"), F.array().cast(f"array<{_LD_OFFER}>"))))
-    prices = F.transform(offers, lambda o: tx.money(F.coalesce(o["price"], o["Price"])))
+    prices = F.transform(offers, lambda o: tx.money(F.coalesce(F.try_element_at(o, F.lit("price")), F.try_element_at(o, F.lit("Price")))))
     return F.filter(prices, lambda p: p.isNotNull())
 
 
 def parse_cards(df: DataFrame, text: Column, url: Column, keep: list[str]) -> DataFrame:
     """Result-card text blocks: name, price line, rating line, merchants, external id."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda l: l != "")
     price_line = r"^[$€£¥]([\d,]+(?:\.\d{1,2})?)$|^([\d,]+(?:\.\d{1,2})?)\s*[$€£¥]$"
     priced = F.filter("_l", lambda l: F.regexp_like(l, F.lit(price_line)))
     rated = F.filter("_l", lambda l: F.regexp_like(l, F.lit(r"^[1-4]\.[0-9]$")))

@@ -165,3 +165,9 @@ def token_set_bound(a_words: Column, b_words: Column) -> Column:
     by_common = F.greatest(F.lit(2.0) * common / (common + la), F.lit(2.0) * common / (common + lb))
     bound = F.when(F.size(both) > 0, F.greatest(by_length, by_common)).otherwise(by_length)
     return F.when(certain, 2.0).when((la == 0) | (lb == 0), 0.0).otherwise(bound)
+
+
+# evaluated exactly where they are written: filters on a score never repeat the scoring
+pair_scores, token_set_similarity, indel_similarity, match_parts = (
+    f.asNondeterministic() for f in (pair_scores, token_set_similarity, indel_similarity, match_parts)
+)

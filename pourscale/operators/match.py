@@ -284,7 +284,11 @@ def match_scores(pairs: DataFrame) -> DataFrame:
     """Score and its parts for candidate pairs (columns of ``candidate_pairs``)."""
     parts = sim.match_parts("q", "n_name", "n_producer", "n_aliases", "q_region", "n_region")
     s = F.col("_s")
-    out = pairs.withColumn("_s", parts).withColumns(
+    # scoring is heavy for its bytes: a fixed number of partitions keeps adaptive coalescing
+    # from folding it into few tasks, and equal texts lie together so a batch scores them once
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.repartition(n, "q", "n_name").sortWithinPartitions("q", "n_name")
+    out = spread.withColumn("_s", parts).withColumns(
         {
             "name_score": name_score(s["name"]),
             "producer_score": producer_score(s["producer"]),

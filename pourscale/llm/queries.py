@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import langid, mixing, secrets, simhash, toxicity
+from pourscale.llm import idfile, langid, mixing, packing, secrets, simhash, toxicity
 from pourscale.llm.common import id_crc, read, small_batches
+from pourscale.session import work_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,12 +31,31 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_rows(pieces: DataFrame) -> DataFrame:
+    """Digest columns of packed pieces."""
+    return pieces.select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return piece_rows(packing.pack(read(spark, sf_dir, "documents")))
+
+
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(read(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    folder = work_folder(spark, "token-files")
+    idfile.write_ids(read(spark, sf_dir, "documents"), folder)
+    return idfile.read_ids(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)

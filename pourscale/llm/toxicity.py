@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 BITS = 20
 MAX_ROWS = 40_000
-SHARD_ROWS = 5_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.6, 0.5
+SHARD_ROWS = 10_000
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.0
+TOXIC_WEIGHT = 4.0  # of a toxic row's gradient: they are few
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -47,6 +48,7 @@ class Learner:
     beta: float = BETA
     l1: float = L1
     l2: float = L2
+    toxic_weight: float = TOXIC_WEIGHT
 
     def __post_init__(self):
         self.z, self.n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
@@ -59,6 +61,7 @@ class Learner:
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g *= self.toxic_weight if label else 1.0
         grown = self.n[at] + g * g
         self.z[at] += g - (np.sqrt(grown) - np.sqrt(self.n[at])) / self.alpha * w
         self.n[at] = grown

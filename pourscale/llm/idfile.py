@@ -115,6 +115,7 @@ def write_ids(docs: DataFrame, folder: str, path: str = TOKENIZER, end: int = EN
         out = None
         for doc_ids, lengths, ids in _blocks(batches, dtype):
             if out is None:
+                store.create_dir(where.rpartition("/")[0])
                 out = store.open_output_stream(where)
                 out.write(MAGIC)
             control, data = encode_ranks(shared.value[ids])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import idfile, langid, mixing, packing, secrets, simhash, toxicity
+from pourscale.llm import idfile, langid, mixing, packing, secrets, simhash, toxicity, warc
 from pourscale.llm.common import id_crc, read, small_batches
 from pourscale.session import work_folder
 
@@ -31,6 +31,24 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    files = warc.write_archives(read(spark, sf_dir, "pages"), work_folder(spark, "warc"))
+    # full payloads only of the responses; a revisit's header has its payload's size and digest
+    responses = warc.read_archives(files).where("record_type = 'response'").select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    revisits = warc.read_archives(files, payload=False).where("record_type = 'revisit'").select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return responses.unionByName(revisits)
+
+
+SQL["op2_warc"] = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+     f as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end as first from p)
+select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+       case when first <> page_id then first end as refers_to from f
+"""
+
+
 def piece_rows(pieces: DataFrame) -> DataFrame:
     """Digest columns of packed pieces."""
     return pieces.select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

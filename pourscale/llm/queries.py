@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import idfile, langid, mixing, packing, secrets, simhash, toxicity, warc
+from pourscale.llm import idfile, langid, mixing, nndescent, packing, secrets, simhash, topk, toxicity, vectors, warc
 from pourscale.llm.common import id_crc, read, small_batches
 from pourscale.session import work_folder
 
@@ -66,6 +66,25 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
+@query
+def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 4096)
+    rows = vectors.usable(read(spark, sf_dir, "embeddings"))
+    rows = rows.select("id", F.transform("vector", lambda x: F.floor(x * 256)).alias("vector"))
+    found = topk.top_k(rows, F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+SQL["op5_top_inner_products"] = """
+with ok as (select vec_id, min(cast(embedding as double[])) as e from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
+     v as (select vec_id, list_transform(e, lambda x: floor(256 * x)) as e from ok),
+     s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+     r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 5
+"""
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
@@ -74,6 +93,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read_ids(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 4096)
+    found = nndescent.nearest(vectors.usable(read(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)

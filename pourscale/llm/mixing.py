@@ -98,7 +98,7 @@ def slot_ranks(spark, targets: np.ndarray, quotas: np.ndarray) -> DataFrame:
     given = counts.groupBy("src").agg(F.sum("n").alias("n"))
     late = quota.join(given, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < quota")
     late = late.select("src", F.explode(F.sequence("n", F.col("quota") - 1)).alias("rank"))
-    return slots.unionByName(late.select((F.lit(total) + F.col("rank")).alias("slot"), "src", "rank"))
+    return slots.unionByName(late.select((F.lit(total) + F.col("rank") * n + F.col("src")).alias("slot"), "src", "rank"))
 
 
 def mix(docs: DataFrame, keys: list[str], weight_of: Callable[[int], float] = lambda i: WEIGHTS[i % len(WEIGHTS)], share: float = SHARE, max_epochs: float = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:

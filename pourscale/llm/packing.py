@@ -88,7 +88,7 @@ def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFram
     A sequence has at most ``length`` pieces.
     """
 
-    def joined(key, group: pa.Table) -> pa.Table:
+    def joined(key, group):
         group = group.sort_by("offset")
         ids = np.frombuffer(b"".join(group["ids"].to_pylist()), "<u4").astype(np.int64)
         n = len(ids)

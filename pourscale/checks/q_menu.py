@@ -108,7 +108,7 @@ def added(source):
 
 
 def once(source):
-    return f"""SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY menu_id, left(lower(name), 45), vintage, CAST(floor(menu_price) AS BIGINT) ORDER BY step, line_no, sub) = 1"""
+    return f"""SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY menu_id, lower(name), vintage, CAST(floor(menu_price) AS BIGINT) ORDER BY step, line_no, sub) = 1"""
 
 
 V["c_first"] = (["c_triple", "c_dual", "c_two", "c_one", "c_three"], "SELECT * FROM c_triple UNION ALL SELECT * FROM c_dual UNION ALL SELECT * FROM c_two UNION ALL SELECT * FROM c_one UNION ALL SELECT * FROM c_three")

@@ -117,7 +117,7 @@ def _(spark, sf):
 @register(
     "cache_key",
     s.q("menu", """SELECT item_id, concat_ws(':', 'pricing', 'p' || l_partkey, coalesce(CAST(given_vintage AS VARCHAR), 'nv')) AS price_key,
-      'dynamic_lookup:' || left(md5(concat_ws(':', trim(lower(menu_text)), CAST(given_vintage AS VARCHAR))), 12) AS text_key FROM menu"""),
+      'dynamic_lookup:' || md5(concat_ws(':', trim(lower(menu_text)), CAST(given_vintage AS VARCHAR))) AS text_key FROM menu"""),
 )
 def _(spark, sf):
     product = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))

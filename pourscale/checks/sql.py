@@ -70,7 +70,7 @@ def producer_key(expr: str) -> str:
     return f"trim({sub(bare, r'\s{2,}', ' ')})"
 
 
-def slug(expr: str, limit: int | None = 60) -> str:
+def slug(expr: str, limit: int | None = None) -> str:
     out = sub(sub(f"strip_accents(lower({expr}))", "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return f"left({out}, {limit})" if limit else out
 
@@ -106,7 +106,9 @@ def wholesale(retail: str, tier_col: str) -> str:
 
 
 def ratio(a: str, b: str, d: int = 3) -> str:
-    return f"CASE WHEN {b} <> 0 THEN round(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE), {d}) END"
+    n, m = f"CAST(round(CAST({a} AS DOUBLE) * 100) AS BIGINT) * {10 ** d}", f"CAST(round(CAST({b} AS DOUBLE) * 100) AS BIGINT)"
+    up = f"CASE WHEN 2 * (({n}) % {m}) > {m} OR (2 * (({n}) % {m}) = {m} AND (({n}) // {m}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CASE WHEN {b} <> 0 THEN ((({n}) // {m}) + {up}) / CAST({10 ** d} AS DOUBLE) END"
 
 
 def score(m: str, t: str) -> str:
@@ -343,12 +345,12 @@ def _strip_sizes(t: str) -> str:
 
 
 def varietal(n: str) -> str:
-    rules = [(label, p.replace(r"(?!\s+franc)", "").replace(r"(?!\s+doc)", "")) for label, p in fv.GRAPE_RULES]
+    rules = [(label, p.replace(r"(?!\s+franc)", "").replace(r"(?!\s+doc)", "")) for p, label in fv.GRAPE_RULES]
     return "CASE " + " ".join(f"WHEN {has(n, p)} THEN {quote(label)}" for label, p in rules) + " END"
 
 
 def region(n: str) -> str:
-    rows = ", ".join(f"({quote(w)}, {quote(r)}, {i})" for w, r, i in fv.region_rows())
+    rows = ", ".join(f"({quote(w)}, {quote(r)}, {i})" for w, r, i in lk.region_rows())
     return (
         f"(SELECT arg_max(r, length(w) * 1000 - i) FROM (VALUES {rows}) k(w, r, i) WHERE contains({n}, w))"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pourscale import fixed_values as fv
+from pourscale.sources.lookups import region_rows
 from pourscale.functions.text import normalize_text
 
 
@@ -53,10 +54,10 @@ def clean_separators(text: Column) -> Column:
 def extract_varietal(normalized: Column) -> Column:
     """Grape of the first rule with a hit; one combined test skips texts without any."""
     rules = None
-    for label, pattern in fv.GRAPE_RULES:
+    for pattern, label in fv.GRAPE_RULES:
         hit = F.regexp_like(normalized, F.lit(pattern))
         rules = F.when(hit, label) if rules is None else rules.when(hit, label)
-    any_rule = "|".join(p for _, p in fv.GRAPE_RULES)
+    any_rule = "|".join(p for p, _ in fv.GRAPE_RULES)
     return F.when(F.regexp_like(normalized, F.lit(any_rule)), rules)
 
 
@@ -66,7 +67,7 @@ def extract_region(normalized: Column, keywords=None) -> Column:
     Keywords are tried longest first, so the first hit is the answer and the
     test stays a chain of substring searches in generated code.
     """
-    rows = sorted(keywords or fv.region_rows(), key=lambda r: (-len(r[0]), r[2]))
+    rows = sorted(keywords or region_rows(), key=lambda r: (-len(r[0]), r[2]))
     out = None
     for word, region, _ in rows:
         hit = F.contains(normalized, F.lit(word))
@@ -92,14 +93,15 @@ def split_producer(text: Column) -> tuple[Column, Column]:
     return producer, name
 
 
-def parse_items(df: DataFrame, text: str = "menu_text", split_before_clean: bool = False) -> DataFrame:
+def parse_items(df: DataFrame, text: str = "menu_text", split_before_clean: bool = False, regions=None) -> DataFrame:
     """Add the parsed columns of ``text`` to every row.
 
     Steps run in a fixed order (price, size, year, NV, separators) because each
     removes what it found.  Columns are added in stages, so a later stage reads
     the earlier one instead of repeating its regular expressions.
     ``split_before_clean`` splits the producer before separator runs become
-    blanks, which keeps ``Producer, Name`` apart.
+    blanks, which keeps ``Producer, Name`` apart.  ``regions`` are (word, region,
+    ordinal) rows; without them a small sample is used.
     """
     t = F.col("_t")
     out = (
@@ -118,7 +120,7 @@ def parse_items(df: DataFrame, text: str = "menu_text", split_before_clean: bool
     return out.withColumns(
         {
             "parsed_varietal": extract_varietal(n),
-            "parsed_region": extract_region(n),
+            "parsed_region": extract_region(n, regions),
             "parsed_type": extract_type(n),
             "parsed_producer": producer,
             "parsed_name": name,

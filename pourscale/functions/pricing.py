@@ -45,8 +45,13 @@ def estimate_wholesale(retail: Column, tier: Column) -> Column:
 
 
 def ratio(a: Column, b: Column, digits: int = 3) -> Column:
-    """a / b rounded; null when either is missing or b is zero."""
-    return F.when(b != 0, F.round(a.cast("double") / b.cast("double"), digits))
+    """a / b of amounts in whole cents, rounded half to even on the exact quotient; null when either is missing or b is zero."""
+    cents = lambda x: F.round(x.cast("double") * 100).cast("bigint")
+    n, d = cents(a) * 10**digits, F.nullif(cents(b), F.lit(0))
+    rest = F.pmod(n, d)
+    whole_part = ((n - rest) / d).cast("bigint")
+    up = (2 * rest > d) | ((2 * rest == d) & (whole_part % 2 == 1))
+    return F.when(b != 0, (whole_part + up.cast("int")) / F.lit(float(10**digits)))
 
 
 def fairness_score(multiple: Column, tier: Column) -> Column:

@@ -65,7 +65,7 @@ def producer_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s{2,}", " "))
 
 
-def slug(text: Column, limit: int | None = 60) -> Column:
+def slug(text: Column, limit: int | None = None) -> Column:
     dashed = F.regexp_replace(strip_accents(F.lower(text)), r"[^a-z0-9]+", "-")
     trimmed = F.regexp_replace(dashed, r"^-+|-+$", "")
     return F.substring(trimmed, 1, limit) if limit else trimmed
@@ -159,7 +159,7 @@ def price_cache_key(wine_id: Column, vintage: Column) -> Column:
 
 def lookup_cache_key(text: Column, vintage: Column) -> Column:
     body = F.concat_ws(":", F.trim(F.lower(text)), vintage.cast("string"))
-    return F.concat(F.lit("dynamic_lookup:"), F.substring(F.md5(body), 1, 12))
+    return F.concat(F.lit("dynamic_lookup:"), F.md5(body))
 
 
 def split_vintage_key(key: Column) -> tuple[Column, Column]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pourscale.functions import pricing as px
 from pourscale.functions.text import expand_terms, lookup_key
 
-# lookup tables up to this many rows become part of the expression; larger ones are joined
-INLINE_LIMIT = 1000
+# every key is found through its first characters
 _HEAD = 3
 
 
@@ -16,30 +15,10 @@ _HEAD = 3
 def first_contained(df: DataFrame, text: str, keys: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Add struct ``out``: the first row of ``keys`` (in ``order``) whose key is part of ``text``.
 
-    Small tables turn into a chain of substring tests in generated code.  For
-    larger ones the distinct texts meet the keys through the first characters
-    of a key, an equi-join that finds every contained key.
+    The distinct texts meet the keys through the first characters of a key, an
+    equi-join that finds every contained key, and are joined back.
     """
-    rows = keys.orderBy(*order).limit(INLINE_LIMIT + 1).collect()
-    if len(rows) > INLINE_LIMIT:
-        return _first_contained_by_join(df, text, keys, order, out)
-    schema = keys.schema
-    row_type = schema.simpleString()
-    if not rows:
-        return df.withColumn(out, F.lit(None).cast(row_type))
-    chain = None
-    for row in rows:
-        hit = F.contains(F.col(text), F.lit(row["key"]))
-        value = F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return df.withColumn(out, chain)
-
-
-def _first_contained_by_join(df: DataFrame, text: str, keys: DataFrame, order: list[Column], out: str) -> DataFrame:
-    from pyspark.sql import Window
-
     texts = df.select(text).distinct()
-    short = keys.where(F.length("key") < _HEAD)
     # a key shorter than the head meets every start of its own length
     starts = lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))
@@ -50,8 +29,7 @@ def _first_contained_by_join(df: DataFrame, text: str, keys: DataFrame, order: l
     hits = left.join(right, "_h").where(F.contains(F.col(text), F.col("key")))
     w = Window.partitionBy(text).orderBy(*order)
     best = hits.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    best = best.select(text, F.struct(*keys.columns).alias(out))
-    return df.join(best, text, "left")
+    return df.join(best.select(text, F.struct(*keys.columns).alias(out)), text, "left")
 
 
 def longest_key_join(df: DataFrame, text: str, keys: DataFrame, out: str = "reference") -> DataFrame:

@@ -43,8 +43,12 @@ PROFILE = ["n_name", "n_producer", "n_aliases", "gate_text", "n_region", "n_vari
 
 
 def text_key(columns: list) -> Column:
-    """Digest of several columns as one short join key; nulls count as values."""
-    return F.md5(F.to_json(F.struct(*columns)))
+    """Digest of several columns as one short join key; nulls count as values.
+
+    It is never null, so a join on it gives the optimizer no null test to push
+    through the parsing of the texts below.
+    """
+    return F.coalesce(F.md5(F.to_json(F.struct(*columns))), F.lit(""))
 
 
 def catalog_profiles(index: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:

@@ -318,12 +318,16 @@ def add_entry(cands: DataFrame, menu: str = "menu_id") -> DataFrame:
     )
 
 
-def dedupe_entries(entries: DataFrame, menu: str = "menu_id", order=("step", "line_no", "sub")) -> DataFrame:
-    """First entry per menu, name head, year and whole price; combined on the map side."""
+def dedupe_entries(entries: DataFrame, menu: str = "menu_id", order=("step", "line_no", "sub"), head: int | None = None) -> DataFrame:
+    """First entry per menu, name, year and whole price; combined on the map side.
+
+    Whole names are compared unless ``head`` gives the characters that count.
+    """
+    name = F.lower("name") if head is None else F.substring(F.lower("name"), 1, head)
     rest = [c for c in entries.columns if c not in (menu, "vintage")]
     return (
         entries.groupBy(
-            menu, F.substring(F.lower("name"), 1, 45).alias("_head"), "vintage", F.floor("menu_price").cast("int").alias("_whole")
+            menu, name.alias("_head"), "vintage", F.floor("menu_price").cast("int").alias("_whole")
         )
         .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
         .select(menu, "vintage", "_row.*")
@@ -359,10 +363,11 @@ def parse_menu(lines: DataFrame, menu: str = "menu_id", strict_consumed: bool =
     return dedupe_entries(first.unionByName(twos), menu)
 
 
-def cap_entries(entries: DataFrame, limit: int = fv.MENU_ENTRY_LIMIT, menu: str = "menu_id") -> DataFrame:
-    """The first ``limit`` entries of each menu (the documented size of one analysis)."""
+def cap_entries(entries: DataFrame, limit: int | None = None, menu: str = "menu_id") -> DataFrame:
+    """Entries numbered within their menu (``entry_no``); only the first ``limit`` of each where the caller sets one."""
     w = Window.partitionBy(menu).orderBy("step", "line_no", "sub")
-    return entries.withColumn("entry_no", F.row_number().over(w)).where(F.col("entry_no") <= limit)
+    numbered = entries.withColumn("entry_no", F.row_number().over(w))
+    return numbered if limit is None else numbered.where(F.col("entry_no") <= limit)
 
 
 # ------------------------------------------------------------------ other row formats

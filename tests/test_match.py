@@ -39,3 +39,18 @@ def test_gate_finds_every_pair_brute_force_finds(spark):
     got = {(r["q_gate"], r["gate_text"]) for r in mt.producer_gate(left, right).collect()}
     want = {(a, b) for a, b in itertools.product(q, e) if sim.token_set(a, b) >= 0.93}
     assert got == want
+
+
+def test_join_keys_push_no_parsing_into_the_scan(spark):
+    from pourscale.checks import registry
+
+    registry.load()
+    plan = registry.QUERIES["fuzzy_match_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 1000
+
+
+def test_text_key_is_never_null(spark):
+    from pourscale.operators.match import text_key
+
+    df = spark.createDataFrame([(None, "a"), ("b", None)], "x string, y string").select(text_key(["x", "y"]).alias("k"))
+    assert not df.schema["k"].nullable and df.distinct().count() == 2

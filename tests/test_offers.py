@@ -5,7 +5,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from pourscale.operators import offers as o
-from pourscale.operators.estimates import _first_contained_by_join, longest_key_join
+from pourscale.operators.estimates import longest_key_join
 
 
 def test_statistics_of_a_hot_product(spark):
@@ -27,10 +27,9 @@ def test_statistics_of_a_hot_product(spark):
         assert abs(float(trimmed[key]["avg_price"]) - statistics.mean(map(float, kept))) < 0.006
 
 
-def test_contained_key_by_join_equals_inline(spark):
-    texts = spark.createDataFrame([("old napa valley red",), ("napa",), ("none",), ("xchablisx ab",)], "t string")
-    keys = spark.createDataFrame([("napa", 0), ("napa valley", 1), ("chablis", 2), ("ab", 3)], "key string, ordinal int")
-    order = [F.desc(F.length("key")), F.asc("ordinal")]
-    a = {r["t"]: r["k"]["key"] if r["k"] else None for r in longest_key_join(texts, "t", keys, "k").collect()}
-    b = {r["t"]: r["k"]["key"] if r["k"] else None for r in _first_contained_by_join(texts, "t", keys, order, "k").collect()}
-    assert a == b == {"old napa valley red": "napa valley", "napa": "napa", "none": None, "xchablisx ab": "chablis"}
+def test_longest_contained_key(spark):
+    texts = ["old napa valley red", "napa", "none", "xchablisx ab", "", None]
+    keys = [("napa", 0), ("napa valley", 1), ("chablis", 2), ("ab", 3), ("e", 4)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["k"]["key"] if r["k"] else None for r in longest_key_join(df, "t", spark.createDataFrame(keys, "key string, ordinal int"), "k").collect()}
+    assert got == {t: min((k for k in keys if k[0] in (t or "")), key=lambda k: (-len(k[0]), k[1]), default=(None,))[0] for t in texts}

@@ -131,14 +131,21 @@ V["an1"] = (["an0"], f"SELECT *, CASE WHEN price_source = 'market_live' AND menu
 V["an"] = (["an1"], f"SELECT *, {s.score('wm', 'tier')} AS score FROM an1")
 
 
-@register("analyze_items", s.q("an", f"SELECT item_id, wine_id, confidence, confidence_level, retail AS avg_retail, price_source, wm AS wholesale_multiple, score AS fairness_score, {s.verdict('score')} AS verdict FROM an"))
-def _(spark, sf):
-    return analyzed(spark, sf).select(
+ANALYSIS_SQL = s.q("an", f"SELECT item_id, wine_id, confidence, confidence_level, retail AS avg_retail, price_source, wm AS wholesale_multiple, score AS fairness_score, {s.verdict('score')} AS verdict FROM an")
+
+
+def analysis_rows(found):
+    return found.select(
         "item_id", "wine_id", "confidence", F.coalesce("confidence_level", F.lit("none")).alias("confidence_level"), "avg_retail",
         "price_source", "wholesale_multiple", "fairness_score", "verdict",
     )
 
 
+@register("analyze_items", ANALYSIS_SQL)
+def _(spark, sf):
+    return analysis_rows(analyzed(spark, sf))
+
+
 V["res"] = (["an"], f"SELECT menu_id, item_id, strong AS matched, CASE WHEN strong THEN cat_name END AS wine_name, coalesce(CASE WHEN strong THEN nullif(cat_varietal, '') END, parsed_varietal) AS varietal, retail AS retail_price, {s.deal('menu_price', 'retail')} AS deal_rating, CASE WHEN retail <> 0 THEN round(CAST(menu_price AS DOUBLE) / CAST(retail AS DOUBLE), 2) END AS markup FROM an")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pourscale.checks import sql as s, views as v
+from pourscale.checks.q_estimates import ANALYSIS_SQL, analysis_rows, analyzed
 from pourscale.checks.registry import register
 from pourscale.streaming import streams as st
 
@@ -25,8 +26,8 @@ def _(spark, sf):
 
     path = st.new_folder(spark, "append")
     rows = v.events(spark, sf).select("event_id", "job_id", "price", F.col("seen_at").alias("analyzed_at"))
-    for part in (0, 1):  # two appends to one table
-        append_log(rows.where(F.col("event_id") % 2 == part), path)
+    for part in (0, 1, 1):  # two appends to one table, one of them repeated
+        append_log(rows.where(F.col("event_id") % 2 == part), path, part)
     return spark.read.parquet(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
@@ -46,11 +47,11 @@ def _(spark, sf):
     return st.stream_ttl(rows, st.new_folder(spark, "ttl"), as_of()).select("wine_id", "price", "price_tier", "valid")
 
 
-@register("stream_job_progress", s.q("ev", "SELECT job_id, count(DISTINCT wine_id) AS done FROM ev WHERE kind <> 'error' GROUP BY job_id"))
+@register("stream_job_progress", s.q("ev", "SELECT job_id, count(DISTINCT wine_id) AS total, count(DISTINCT CASE WHEN kind <> 'error' THEN wine_id END) AS done, count(DISTINCT CASE WHEN kind <> 'error' THEN wine_id END) >= count(DISTINCT wine_id) AS finished FROM ev GROUP BY job_id"))
 def _(spark, sf):
-    done = event_stream(spark, sf).where("kind <> 'error'").select("job_id", F.col("wine_id").alias("item"))
-    log = st.stream_job_progress(done, st.new_folder(spark, "jobs"))
-    return log.groupBy("job_id").agg(F.count(F.lit(1)).alias("done"))
+    done = event_stream(spark, sf).where("kind <> 'error'").select("job_id", F.col("wine_id").alias("item"), "seen_at")
+    items = v.events(spark, sf).select("job_id", F.col("wine_id").alias("item")).distinct()
+    return st.stream_job_progress(done, items, st.new_folder(spark, "jobs"))
 
 
 @register("stream_discover", "SELECT id, name FROM (SELECT 'n' || (p_partkey % 700) AS id, arg_min(p_name, p_partkey) AS name FROM part GROUP BY 1) WHERE CAST(substr(id, 2) AS INTEGER) % 5 <> 0")
@@ -65,14 +66,7 @@ def _(spark, sf):
     return st.stream_discover(stream, known, st.new_folder(spark, "discover")).select("id", "name")
 
 
-@register("stream_analyze", s.q("parts", f"SELECT item_id, price, {s.tier('price')} AS price_tier FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id, {s.cents('l_extendedprice / l_quantity')} AS price FROM lineitem)"))
+@register("stream_analyze", ANALYSIS_SQL)
 def _(spark, sf):
-    from pourscale.functions.pricing import price_tier
-
     rows = st.read_stream(spark, f"{sf}/lineite[m].parquet", v.table(spark, sf, "lineitem").schema)
-    items = rows.select(
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("item_id"),
-        v.cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-    )
-    score = lambda batch: batch.withColumn("price_tier", price_tier(F.col("price")))
-    return st.stream_analyze(items, st.new_folder(spark, "analyze"), score)
+    return st.stream_analyze(rows, st.new_folder(spark, "analyze"), lambda batch: analysis_rows(analyzed(spark, sf, v.menu(spark, sf, batch))))

@@ -77,8 +77,8 @@ def offers(spark, sf) -> DataFrame:
     )
 
 
-def _item_parts(spark, sf) -> DataFrame:
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def _item_parts(spark, sf, li: DataFrame | None = None) -> DataFrame:
+    li, p = table(spark, sf, "lineitem") if li is None else li, table(spark, sf, "part")
     kind = F.initcap("p_type")
     producer = (
         F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Château "), kind))
@@ -96,9 +96,9 @@ def _item_parts(spark, sf) -> DataFrame:
     )
 
 
-def menu(spark, sf) -> DataFrame:
-    """One priced item text per lineitem."""
-    d = _item_parts(spark, sf)
+def menu(spark, sf, li: DataFrame | None = None) -> DataFrame:
+    """One priced item text per lineitem, or per row of ``li``, a part of it."""
+    d = _item_parts(spark, sf, li)
     n, s = F.col("l_linenumber"), F.col("l_suppkey")
     year = F.when(n % 3 != 1, F.concat(F.year("l_shipdate").cast("string"), F.lit(" "))).otherwise("")
     lead = F.when(n == 6, "Ch. ").otherwise("")

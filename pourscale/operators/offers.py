@@ -219,17 +219,19 @@ def priority_pick(prices: DataFrame) -> DataFrame:
 def vintage_fallback_join(items: DataFrame, prices: DataFrame) -> DataFrame:
     """Price of (wine_id, vintage), else of (wine_id, no year).
 
-    ``prices`` has one row per (wine_id, vintage), vintage null for the generic
-    price; the years of a product become one map so that a single join by
-    product answers both lookups.
+    A null vintage in ``prices`` is the generic price; of several prices of one
+    (wine_id, vintage) the lowest counts.  The years of a product become one map
+    so that a single join by product answers both lookups.
     """
-    year = F.coalesce("vintage", F.lit(0))
-    by_product = prices.groupBy("wine_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(year.alias("y"), F.col("price")))).alias("_by_year")
+    single = prices.groupBy("wine_id", "vintage").agg(F.min("price").alias("price"))
+    dated = F.when(F.col("vintage").isNotNull(), F.struct("vintage", "price"))
+    by_product = single.groupBy("wine_id").agg(
+        F.map_from_entries(F.collect_list(dated)).alias("_by_year"),
+        F.max(F.when(F.col("vintage").isNull(), F.col("price"))).alias("_generic"),
     )
     out = items.join(by_product, "wine_id", "left")
-    exact = F.try_element_at("_by_year", F.coalesce("vintage", F.lit(0)))
-    plain = F.try_element_at("_by_year", F.lit(0))
+    exact = F.when(F.col("vintage").isNotNull(), F.try_element_at("_by_year", F.coalesce("vintage", F.lit(0))))
+    plain = F.col("_generic")
     return out.withColumn("price", F.coalesce(exact, plain)).withColumn(
         "price_match", F.when(exact.isNotNull() & F.col("vintage").isNotNull(), "vintage").when(plain.isNotNull(), "generic")
-    ).drop("_by_year")
+    ).drop("_by_year", "_generic")

@@ -208,9 +208,9 @@ def parse_cards(df: DataFrame, text: Column, url: Column, keep: list[str]) -> Da
 
 
 # ------------------------------------------------------------------ sinks
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append analysis rows, one directory per day."""
-    rows.withColumn("day", F.to_date("analyzed_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: int) -> None:
+    """Append the analysis rows of one batch, a directory per batch and day; a repeated batch replaces itself."""
+    rows.withColumn("day", F.to_date("analyzed_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 
 def write_price_table(prices: DataFrame, path: str, buckets: int = 64) -> None:

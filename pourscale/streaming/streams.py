@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pourscale.functions import pricing as px
 from pourscale.operators.catalog import insert_if_absent, ttl_expiry
+from pourscale.operators.report import job_progress
 from pourscale.session import work_folder
 
 
@@ -38,10 +39,35 @@ def write_batches(
     return spark.read.parquet(out)
 
 
-def latest_state(written: DataFrame, keys: list[str]) -> DataFrame:
-    """Last row per key of an update-mode stream."""
-    rest = [c for c in written.columns if c not in keys and c != "batch"]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
+def upsert_batches(stream: DataFrame, folder: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Run a stream into a keyed table: the largest row per key by ``order``.
+
+    Without ``order`` the stream updates its own rows and the last update counts.
+    Every batch writes the table anew from the version before it and its own rows,
+    so reading never goes through the history and a repeated batch gives the same version.
+    """
+    spark = stream.sparkSession
+    table = f"{folder}/table"
+    versions = []
+
+    def save(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        new = rows.withColumn("_v", F.lit(1))
+        if batch:
+            new = new.unionByName(session.read.parquet(f"{table}/version={batch - 1}").withColumn("_v", F.lit(0)))
+        rest = [c for c in rows.columns if c not in keys]
+        kept = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or ["_v"]))).alias("_s")).select(*keys, "_s.*")
+        kept.write.mode("overwrite").parquet(f"{table}/version={batch}")
+        versions.append(batch)
+
+    query = (
+        stream.writeStream.outputMode("append" if order else "update").foreachBatch(save)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not versions:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{table}/version={versions[-1]}")
 
 
 def stream_log(log: DataFrame, folder: str, watermark: str = "1 day") -> DataFrame:
@@ -52,7 +78,7 @@ def stream_log(log: DataFrame, folder: str, watermark: str = "1 day") -> DataFra
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(12,2)")).alias("total"))
         .select(F.col("w.start").alias("day"), "kind", "n", "total")
     )
-    return latest_state(write_batches(counts, folder, "update"), ["day", "kind"])
+    return upsert_batches(counts, folder, ["day", "kind"])
 
 
 def stream_inflight_dedupe(lookups: DataFrame, folder: str, watermark: str = "60 days") -> DataFrame:
@@ -62,11 +88,9 @@ def stream_inflight_dedupe(lookups: DataFrame, folder: str, watermark: str = "60
 
 
 def stream_price_upsert(prices: DataFrame, folder: str) -> DataFrame:
-    """Latest price per product; ties in time go to the higher event id."""
-    latest = prices.groupBy("wine_id").agg(
-        F.max_by(F.struct("price", "seen_at"), F.struct("seen_at", "event_id")).alias("p")
-    ).select("wine_id", "p.price", "p.seen_at")
-    return latest_state(write_batches(latest, folder, "update"), ["wine_id"])
+    """Latest price per product; ties in time go to the higher event id. The table is the only state."""
+    rows = prices.select("wine_id", "price", "seen_at", "event_id")
+    return upsert_batches(rows, folder, ["wine_id"], ["seen_at", "event_id"]).drop("event_id")
 
 
 def stream_discover(found: DataFrame, catalog: DataFrame, folder: str) -> DataFrame:
@@ -75,22 +99,26 @@ def stream_discover(found: DataFrame, catalog: DataFrame, folder: str) -> DataFr
     Every batch reads the rows earlier batches added, so a product found once
     is known to the next batch.
     """
-    spark = found.sparkSession
+    ids = catalog.select("id")
 
     def step(rows: DataFrame, batch: int) -> DataFrame:
-        known = catalog.select("id")
-        added = [f"{folder}/rows/batch={b}" for b in range(batch)]
-        for path in added:
-            known = known.unionByName(spark.read.parquet(path).select("id"))
-        fresh = insert_if_absent(known, rows).where("name is not null")
-        return fresh
+        known = ids
+        if batch:
+            # one scan of what earlier batches added; a replay leaves its own rows out
+            added = rows.sparkSession.read.schema("id string, batch int").parquet(f"{folder}/rows").where(F.col("batch") < batch)
+            known = ids.unionByName(added.select("id"))
+        return insert_if_absent(known, rows).where("name is not null")
 
     return write_batches(found, folder, step=step).drop("batch")
 
 
-def stream_job_progress(done: DataFrame, folder: str) -> DataFrame:
-    """Distinct finished items as they arrive (job_id, item); count them with job_progress."""
-    return write_batches(done.dropDuplicates(["job_id", "item"]), folder).drop("batch")
+def stream_job_progress(done: DataFrame, items: DataFrame, folder: str, watermark: str = "60 days") -> DataFrame:
+    """Total, done and finished per job from finished items as they arrive (done: job_id, item, seen_at; items: job_id, item).
+
+    An item counts once; state older than the watermark is dropped.
+    """
+    once = done.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["job_id", "item"])
+    return job_progress(items, write_batches(once.select("job_id", "item"), folder).drop("batch"))
 
 
 def stream_ttl(prices: DataFrame, folder: str, as_of) -> DataFrame:

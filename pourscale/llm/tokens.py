@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MEMO = 600_000
 #: Latin letters, then punctuation: two words for the tokenizer, the first in lower case.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: What str.split() parts and the tokenizer's white space does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
@@ -28,11 +29,8 @@ _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_printable)))}
 
 
-class TextEncoder(dict):
-    """From white-space parts met so far to their ids."""
-
+class TextEncoder:
     def __init__(self, path: str = TOKENIZER):
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -40,6 +38,8 @@ class TextEncoder(dict):
         rules = json.loads(self.library.to_str())
         first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_parts = bool(rules["model"].get("end_of_word_suffix")) and first.get("behavior") == "Removed" and first.get("invert") is True
+        self.tokenize = self.library.model.tokenize
+        self.parts: dict[str, bytes] = {}  # of white-space parts
         self.words: dict[str, bytes] = {}  # of pre-tokens
 
     def _library(self, text: str) -> bytes:
@@ -49,27 +49,37 @@ class TextEncoder(dict):
         """Ids of one pre-token in lower case, straight from the library's model."""
         found = self.words.get(word)
         if found is None:
-            found = np.array([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))], self.dtype).tobytes()
+            found = array(self.dtype.char, [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
             if len(self.words) >= MEMO:
                 self.words.clear()
             self.words[word] = found
         return found
 
-    def __missing__(self, part: str) -> bytes:
-        if m := _PLAIN.fullmatch(part):
-            found = (self._word(m[1].lower()) if m[1] else b"") + (self._word(m[2]) if m[2] else b"")
+    def _part(self, part: str) -> bytes:
+        if m := _PLAIN(part):
+            word, marks = m.groups()
+            found = self._word(word.lower()) + self._word(marks) if word and marks else self._word(word.lower() or marks)
         else:
             found = self._library(part)
-        if len(self) >= MEMO:
-            self.clear()
-        self[part] = found
+        if len(self.parts) >= MEMO:
+            self.parts.clear()
+        self.parts[part] = found
         return found
 
+    def _text(self, text: str | None) -> bytes:
+        if not text or _ODD_SPACE.search(text):
+            return self._library(text or "")
+        parts = text.split()
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            found = [ids if ids is not None else self.parts.get(part) or self._part(part) for ids, part in zip(found, parts)]
+        return b"".join(found)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text; null is empty."""
         if not self.by_parts:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        return [self._library(t) if t and _ODD_SPACE.search(t) else b"".join([self[p] for p in (t or "").split()]) for t in texts]
+        return list(map(self._text, texts))
 
 
 @cache

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import pourscale
 from pourscale.session import work_folder
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: with the default of 10 000, long texts fill a worker's memory."""
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_pourscale_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(pourscale.__file__)))
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "pourscale"), "zip", root, "pourscale"))
+        context._pourscale_shipped = True
+
+
+def prepare(spark: SparkSession, rows: int = 512) -> None:
+    """Ships the package and sets Arrow batches of few rows: with the default of 10 000, long texts fill a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The same rows as a table in the shared folder: read twice, computed once, with no lineage before it."""
     spark = df.sparkSession
     path = work_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.parquet(path)
 
 

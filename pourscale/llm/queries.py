@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pourscale.llm import idfile, langid, mixing, nndescent, packing, secrets, simhash, topk, toxicity, vectors, warc
-from pourscale.llm.common import id_crc, read, small_batches
+from pourscale.llm.common import id_crc, prepare, read
 from pourscale.session import work_folder
 
 QUERIES: dict = {}
@@ -20,7 +20,7 @@ def query(fn):
 
 @query
 def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind < secrets.BASE)
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint")
@@ -33,7 +33,7 @@ def op1_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     files = warc.write_archives(read(spark, sf_dir, "pages"), work_folder(spark, "warc"))
     # full payloads only of the responses; a revisit's header has its payload's size and digest
     responses = warc.read_archives(files).where("record_type = 'response'").select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
@@ -56,7 +56,7 @@ def piece_rows(pieces: DataFrame) -> DataFrame:
 
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return piece_rows(packing.pack(read(spark, sf_dir, "documents")))
 
 
@@ -68,7 +68,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 4096)
+    prepare(spark, 4096)
     rows = vectors.usable(read(spark, sf_dir, "embeddings"))
     rows = rows.select("id", F.transform("vector", lambda x: F.floor(x * 256)).alias("vector"))
     found = topk.top_k(rows, F.col("id") % 50 == 0, 5)
@@ -87,7 +87,7 @@ select * from r where rank <= 5
 
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     folder = work_folder(spark, "token-files")
     idfile.write_ids(read(spark, sf_dir, "documents"), folder)
     return idfile.read_ids(spark, folder).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -95,14 +95,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 4096)
+    prepare(spark, 4096)
     found = nndescent.nearest(vectors.usable(read(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.coalesce(id_crc() % 3 == 1, F.lit(False))
     weights = toxicity.fit(docs, labels.where(~held_out))
@@ -112,14 +112,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(id_crc() % 5 == 0, F.lit(False))
     model = langid.fit(docs.where(~held_out))

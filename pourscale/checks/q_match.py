@@ -62,6 +62,10 @@ V["passed"] = (["gsim"], "SELECT a AS q_gate, b AS gate_text FROM gsim WHERE set
 V["cands"] = (["qs", "prof", "passed"], "SELECT * FROM qs JOIN passed USING (q_gate) JOIN prof USING (gate_text) WHERE len(q_tokens) = 0 OR list_has_any(q_tokens, tokens)")
 
 
+def _r(c):
+    return f"round(round(CAST({c} AS DOUBLE), 9), 6) AS {c}"
+
+
 def scoring_views(prefix: str, cands: str) -> None:
     """prefix_scored: every candidate row with its scores and bonuses."""
     V[f"{prefix}_todo"] = ([cands], f"SELECT DISTINCT q AS a, n_name AS b FROM {cands} UNION SELECT q, n_producer FROM {cands} UNION SELECT q, n_alias FROM {cands}")
@@ -78,18 +82,25 @@ def scoring_views(prefix: str, cands: str) -> None:
 
 
 scoring_views("m", "cands")
+_PARTS = "name_score, producer_score, alias_score, vintage_bonus, region_bonus, varietal_bonus, type_bonus"
+_SHOWN = ["base_text", "score", *_PARTS.split(", ")]
 _QKEY = "q, q_gate, q_region, q_varietal, q_type, q_year"
 _PKEY = "n_name, n_producer, n_alias, gate_text, n_region, n_varietal, wine_type"
 V["ranked"] = (["m_scored", "idx"], f"""
-  SELECT {', '.join('s.' + c.strip() for c in _QKEY.split(','))}, idx.id AS wine_id, score, base_text, row_number() OVER (PARTITION BY {', '.join('s.' + c.strip() for c in _QKEY.split(','))} ORDER BY score DESC, catalog_ordinal) AS rank
+  SELECT {', '.join('s.' + c.strip() for c in _QKEY.split(','))}, idx.id AS wine_id, score, base_text, {_PARTS}, row_number() OVER (PARTITION BY {', '.join('s.' + c.strip() for c in _QKEY.split(','))} ORDER BY score DESC, catalog_ordinal) AS rank
   FROM m_scored s JOIN idx USING (n_name, n_producer, n_alias, gate_text, n_region, n_varietal, wine_type) WHERE score >= 0.55 QUALIFY rank <= 5""")
 _SAME = " AND ".join(f"r.{c} IS NOT DISTINCT FROM p.{c}" for c in ("q_region", "q_varietal", "q_type"))
 V["pk"] = (["parsed"], f"""SELECT *, normalized_search AS q, {s.normalize_producer("coalesce(parsed_producer, '')")} AS q_gate, coalesce(parsed_region, '-') AS kr, coalesce(parsed_varietal, '-') AS kv, coalesce(parsed_type, '-') AS kt,
     coalesce(vintage BETWEEN 1950 AND 2030, false) AS q_year FROM parsed""")
-V["item_matches"] = (["pk", "ranked"], f"""SELECT item_id, p.menu_text, r.wine_id, r.score, r.rank, r.base_text, {s.level('r.score')} AS confidence_level FROM pk p JOIN (SELECT *, coalesce(q_region, '-') AS kr, coalesce(q_varietal, '-') AS kv, coalesce(q_type, '-') AS kt FROM ranked) r
+V["item_matches"] = (["pk", "ranked"], f"""SELECT item_id, p.menu_text, r.wine_id, r.score, r.rank, r.base_text, {', '.join('r.' + c.strip() for c in _PARTS.split(','))}, {s.level('r.score')} AS confidence_level FROM pk p JOIN (SELECT *, coalesce(q_region, '-') AS kr, coalesce(q_varietal, '-') AS kv, coalesce(q_type, '-') AS kt FROM ranked) r
     USING (q, q_gate, q_year, kr, kv, kt)""")
 
 
+def _round(c):
+    """Six decimals of nine: sums that differ in their last bit stay together at a half."""
+    return F.round(F.round(F.col(c).cast("double"), 9), 6).alias(c)
+
+
 def index(spark, sf):
     return mt.catalog_index(v.cat(spark, sf))
 
@@ -127,10 +138,10 @@ def _(spark, sf):
     return mt.producer_gate(queries_(spark, sf).where("q_gated"), profiles(spark, sf))
 
 
-@register("match_score", s.q("m_scored", f"SELECT {', '.join(_QCOLS + _PCOLS)}, round(name_score, 6) AS name_score, round(producer_score, 6) AS producer_score, round(alias_score, 6) AS alias_score, round(base_text, 6) AS base_text FROM m_scored"))
+@register("match_score", s.q("m_scored", f"SELECT {', '.join(_QCOLS + _PCOLS)}, {', '.join(map(_r, ['name_score', 'producer_score', 'alias_score', 'base_text']))} FROM m_scored"))
 def _(spark, sf):
     out = mt.match_scores(mt.candidate_pairs(queries_(spark, sf), mt.catalog_profiles(index(spark, sf), 5)[0]))
-    sc = [F.round(c, 6).alias(c) for c in ("name_score", "producer_score", "alias_score", "base_text")]
+    sc = [_round(c) for c in ("name_score", "producer_score", "alias_score", "base_text")]
     return out.withColumn("n_alias", F.col("n_aliases")[0]).select(*_QCOLS, *_PCOLS, *sc)
 
 
@@ -141,9 +152,9 @@ def _(spark, sf):
     return out.withColumn("n_alias", F.col("n_aliases")[0]).select(*_QCOLS, *_PCOLS, *b, F.round("score", 6).alias("score"))
 
 
-@register("score_breakdown", s.q("item_matches", "SELECT item_id, rank, round(base_text, 4) AS base_text, round(score, 4) AS final FROM item_matches WHERE rank = 1"))
+@register("score_breakdown", s.q("item_matches", f"SELECT item_id, rank, {', '.join(_r(c) for c in _SHOWN)} FROM item_matches"))
 def _(spark, sf):
-    return matches(spark, sf).where("rank = 1").select("item_id", "rank", F.round("base_text", 4).alias("base_text"), F.round("score", 4).alias("final"))
+    return matches(spark, sf).select("item_id", "rank", *[_round(c) for c in _SHOWN])
 
 
 @register("fuzzy_match_join", s.q("item_matches", "SELECT item_id, wine_id, rank, round(score, 6) AS score FROM item_matches"))

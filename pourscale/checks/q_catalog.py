@@ -60,8 +60,8 @@ def _(spark, sf):
     return c.insert_if_absent(v.cat(spark, sf).select(*_CAT), found(spark, sf).select(*_CAT)).select(*_CAT)
 
 
-V["cur"] = (["offers"], "SELECT wine_id, max(price) AS avg_price FROM offers WHERE l_suppkey % 4 < 3 GROUP BY wine_id")
-V["seed"] = (["offers"], "SELECT wine_id, max(price) AS avg_price FROM offers WHERE l_suppkey % 4 > 0 AND l_linenumber < 6 GROUP BY wine_id")
+V["cur"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 4 < 3', 'c')} AS wine_id, max(price) AS avg_price FROM offers GROUP BY 1")
+V["seed"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 4 > 0 AND l_linenumber < 6', 's')} AS wine_id, max(price) AS avg_price FROM offers GROUP BY 1")
 
 
 @register("merge_with_drift", s.q("cur seed", """SELECT wine_id, change, CASE WHEN change IN ('added', 'updated') THEN sp ELSE cp END AS avg_price FROM (
@@ -70,17 +70,17 @@ V["seed"] = (["offers"], "SELECT wine_id, max(price) AS avg_price FROM offers WH
     FROM cur c FULL JOIN seed s ON c.wine_id = s.wine_id)"""))
 def _(spark, sf):
     off = v.offers(spark, sf)
-    top = lambda w: off.where(w).groupBy("wine_id").agg(F.max("price").alias("avg_price"))
-    return c.merge_with_drift(top("l_suppkey % 4 < 3"), top("l_suppkey % 4 > 0 and l_linenumber < 6"))
+    top = lambda w, other: off.groupBy(v.other_key(w, other)).agg(F.max("price").alias("avg_price"))
+    return c.merge_with_drift(top("l_suppkey % 4 < 3", "c"), top("l_suppkey % 4 > 0 and l_linenumber < 6", "s"))
 
 
 _YEARS = "(VALUES (NULL), " + ", ".join(f"({y})" for y in YEARS if y) + ") y(vintage)"
-V["yp"] = (["offers"], "SELECT wine_id, CASE WHEN vintage IS NULL THEN NULL ELSE vintage + 15 END AS vintage, max(price) AS price, CASE WHEN max(l_linenumber) = 7 THEN NULL ELSE TIMESTAMP '2024-01-31' - to_days(CAST(max(l_partkey) % 60 AS INTEGER)) END AS fetched_at FROM offers WHERE l_suppkey % 2 = 0 GROUP BY ALL")
+V["yp"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 2 = 0')} AS wine_id, CASE WHEN vintage IS NULL THEN NULL ELSE vintage + 15 END AS vintage, max(price) AS price, CASE WHEN max(l_linenumber) = 7 THEN NULL ELSE TIMESTAMP '2024-01-31' - to_days(CAST(max(l_partkey) % 60 AS INTEGER)) END AS fetched_at FROM offers GROUP BY ALL")
 
 
 def shifted_prices(spark, sf):
     day = F.lit("2024-01-31").cast("timestamp") - F.make_dt_interval(days=(F.max("l_partkey") % 60).cast("int"))
-    return v.offers(spark, sf).where("l_suppkey % 2 = 0").groupBy("wine_id", (F.col("vintage") + 15).alias("vintage")).agg(
+    return v.offers(spark, sf).groupBy(v.other_key("l_suppkey % 2 = 0"), (F.col("vintage") + 15).alias("vintage")).agg(
         F.max("price").alias("price"), F.when(F.max("l_linenumber") != 7, day).alias("fetched_at")
     )
 
@@ -116,18 +116,19 @@ def _(spark, sf):
     return c.ttl_expiry(rows, as_of()).select("wine_id", "vintage", "price_tier", "expires_at", "valid")
 
 
-V["idmap"] = (["cat"], "SELECT id AS wine_id, catalog_ordinal * 7 + 1000 AS external_id FROM cat WHERE catalog_ordinal % 3 <> 1")
-V["seen_price"] = (["offers"], "SELECT wine_id, max(price) AS price FROM offers WHERE l_linenumber = 1 GROUP BY wine_id")
+V["idmap"] = (["cat"], "SELECT CASE WHEN catalog_ordinal % 3 <> 1 THEN id ELSE 'z' || id END AS wine_id, catalog_ordinal * 7 + 1000 AS external_id FROM cat")
+V["seen_price"] = (["offers"], f"SELECT {s.other_key('l_linenumber = 1')} AS wine_id, max(price) AS price FROM offers GROUP BY 1")
 
 
 def id_map(spark, sf):
-    return v.cat(spark, sf).where("catalog_ordinal % 3 <> 1").select(F.col("id").alias("wine_id"), (F.col("catalog_ordinal") * 7 + 1000).alias("external_id"))
+    other = F.when(F.col("catalog_ordinal") % 3 != 1, F.col("id")).otherwise(F.concat(F.lit("z"), F.col("id")))
+    return v.cat(spark, sf).select(other.alias("wine_id"), (F.col("catalog_ordinal") * 7 + 1000).alias("external_id"))
 
 
 @register("drop_bad_mappings", s.q("idmap seen_price cat", """SELECT m.wine_id, external_id, coalesce(bad, false) AS rejected FROM idmap m LEFT JOIN (
     SELECT wine_id, NOT CAST(price AS DOUBLE) / CAST(avg_retail_price AS DOUBLE) BETWEEN 0.1 AND 10.0 AS bad FROM seen_price JOIN cat ON id = wine_id) b ON b.wine_id = m.wine_id"""))
 def _(spark, sf):
-    seen = v.offers(spark, sf).where("l_linenumber = 1").groupBy("wine_id").agg(F.max("price").alias("price"))
+    seen = v.offers(spark, sf).groupBy(v.other_key("l_linenumber = 1")).agg(F.max("price").alias("price"))
     kept, bad = c.drop_bad_mappings(id_map(spark, sf), seen, v.cat(spark, sf))
     return kept.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)))
 
@@ -177,7 +178,8 @@ def _(spark, sf):
 def _(spark, sf):
     cat = v.cat(spark, sf)
     wanted = cat.select("region").distinct()
-    return c.region_fill(cat.where("wine_type = 'red'"), wanted, 16)
+    region = F.when(F.col("wine_type") == "red", F.col("region")).otherwise(F.concat("region", F.lit(" (others)")))
+    return c.region_fill(cat.withColumn("region", region), wanted, 16)
 
 
 @register("id_set_ops", s.q("yp cat", "(SELECT wine_id FROM yp WHERE vintage IS NULL UNION SELECT wine_id FROM yp WHERE vintage IS NOT NULL) INTERSECT SELECT id FROM cat"))
@@ -202,26 +204,22 @@ def _(spark, sf):
     return r.fold_variants(v.cat(spark, sf).withColumn("wine_type", t))
 
 
-V["flags_"] = (["cat", "yp"], "SELECT id, country, coalesce(g, false) AS generic, coalesce(n, 0) AS years FROM cat LEFT JOIN (SELECT wine_id, bool_or(vintage IS NULL) AS g, count(DISTINCT vintage) AS n FROM yp WHERE wine_id NOT LIKE '%7' GROUP BY wine_id) ON wine_id = id")
-
-
-def some_prices(spark, sf):
-    return shifted_prices(spark, sf).where("wine_id not like '%7'")
+V["flags_"] = (["cat", "yp"], "SELECT id, country, coalesce(g, false) AS generic, coalesce(n, 0) AS years FROM cat LEFT JOIN (SELECT wine_id, bool_or(vintage IS NULL) AS g, count(DISTINCT vintage) AS n FROM yp GROUP BY wine_id) ON wine_id = id")
 
 
 @register("coverage_stats", s.q("flags_", "SELECT count(*) AS total, count(*) FILTER (generic) AS generic_priced, CAST(sum(years) AS BIGINT) AS vintage_entries, count(*) FILTER (generic OR years > 0) AS covered, CAST(round_even(100.0 * count(*) FILTER (generic OR years > 0) / count(*), 0) AS INTEGER) AS covered_pct, count(*) - count(*) FILTER (generic OR years > 0) AS unpriced FROM flags_"))
 def _(spark, sf):
-    return r.coverage_stats(v.cat(spark, sf), some_prices(spark, sf))
+    return r.coverage_stats(v.cat(spark, sf), shifted_prices(spark, sf))
 
 
 @register("country_coverage", s.q("flags_", "SELECT country, count(*) AS total, count(*) FILTER (generic) AS priced, CAST(round_even(100.0 * count(*) FILTER (generic) / count(*), 0) AS INTEGER) AS pct FROM flags_ GROUP BY country"))
 def _(spark, sf):
-    return r.country_coverage(v.cat(spark, sf), some_prices(spark, sf))
+    return r.country_coverage(v.cat(spark, sf), shifted_prices(spark, sf))
 
 
 @register("coverage_semi", s.q("flags_", "SELECT id, generic OR years > 0 AS priced FROM flags_"))
 def _(spark, sf):
-    have, lack = r.coverage_semi(v.cat(spark, sf), some_prices(spark, sf))
+    have, lack = r.coverage_semi(v.cat(spark, sf), shifted_prices(spark, sf))
     return have.select("id", F.lit(True).alias("priced")).unionByName(lack.select("id", F.lit(False).alias("priced")))
 
 

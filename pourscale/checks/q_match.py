@@ -268,7 +268,7 @@ from pourscale.checks.registry import SQL  # noqa: E402
 SQL["card_pick_join"] = s.q("hits_ok", "SELECT wine_id, card_no, card_name, price, rating FROM hits_ok QUALIFY row_number() OVER (PARTITION BY wine_id ORDER BY coalesce(rating, 0) DESC, card_no) = 1")
 
 _LIST = lambda c: s.listing_text(c)
-V["listing0"] = (["cat"], "SELECT a.id AS wine_id, a.producer, a.name, k AS phrase_rank, b.catalog_ordinal * 10 + 7 AS external_id, (2000 + b.catalog_ordinal % 20) || ' ' || b.producer || ' ' || b.name AS listing, b.catalog_ordinal AS ordinal FROM cat a, (VALUES (0), (1), (2)) v(k), cat b WHERE b.catalog_ordinal = a.catalog_ordinal * (k + 2) + 1")
+V["listing0"] = (["cat"], "SELECT a.id AS wine_id, a.producer, a.name, k AS phrase_rank, b.catalog_ordinal * 10 + 7 AS external_id, (2000 + b.catalog_ordinal % 20) || ' ' || b.producer || ' ' || b.name AS listing, b.catalog_ordinal AS ordinal FROM cat a, (VALUES (0), (1), (2)) v(k), cat b WHERE b.catalog_ordinal = a.catalog_ordinal + k * 7")
 _TOK = lambda c: f"list_filter(list_distinct(list_filter(regexp_split_to_array({c}, ' +'), lambda t: t <> '')), lambda t: NOT list_contains({s.values(fv.LISTING_STOP_WORDS)}, t))"
 V["listing1"] = (["listing0"], f"SELECT *, {_LIST('producer')} AS p, regexp_replace({_LIST('listing')}, '^\\d{{4}}\\s+', '') AS t, {_LIST('name')} AS nn FROM listing0")
 V["listing2"] = (["listing1"], f"SELECT *, left(t, CAST(length(p) + 25 AS BIGINT)) AS head, list_distinct(list_concat({_TOK('p')}, {_TOK('nn')})) AS keys FROM listing1")
@@ -280,7 +280,7 @@ V["lpairs"] = (["listing2"], f"SELECT p, head, {s.indel('p', 'head')} AS sim FRO
 def _(spark, sf):
     cat = v.cat(spark, sf)
     a = cat.select(F.col("id").alias("wine_id"), "producer", "name", "catalog_ordinal").withColumn("phrase_rank", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    a = a.withColumn("ordinal", F.col("catalog_ordinal") * (F.col("phrase_rank") + 2) + 1).drop("catalog_ordinal")
+    a = a.withColumn("ordinal", F.col("catalog_ordinal") + F.col("phrase_rank") * 7).drop("catalog_ordinal")
     o = F.col("catalog_ordinal")
     b = cat.select(o.alias("ordinal"), (o * 10 + 7).alias("external_id"), F.concat_ws(" ", (2000 + o % 20).cast("string"), "producer", "name").alias("listing"))
     return mt.external_id_match(a.join(b, "ordinal"))

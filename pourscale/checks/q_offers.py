@@ -73,11 +73,11 @@ def _(spark, sf):
     {s.wholesale('avg_retail', '(' + s.tier('avg_retail') + ')')} AS estimated_wholesale, CASE WHEN num_listings >= 5 THEN 'high' ELSE 'medium' END AS data_confidence
   FROM (SELECT p_partkey AS lookup_id, coalesce({s.mean('tot', 'n')}, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS avg_retail,
       coalesce(lo, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS min_retail, coalesce(hi, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS max_retail, CAST(coalesce(n, 1) AS INTEGER) AS num_listings
-    FROM part LEFT JOIN (SELECT l_partkey, sum(price) AS tot, min(price) AS lo, max(price) AS hi, count(price) AS n FROM offers WHERE l_suppkey % 7 = 3 AND price <> 0 GROUP BY 1) ON l_partkey = p_partkey) WHERE avg_retail IS NOT NULL"""))
+    FROM part LEFT JOIN (SELECT l_partkey, sum(price) AS tot, min(price) AS lo, max(price) AS hi, count(price) AS n FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 7 = 3 THEN l_partkey ELSE -l_partkey END AS l_partkey) FROM offers) WHERE price <> 0 GROUP BY 1) ON l_partkey = p_partkey) WHERE avg_retail IS NOT NULL"""))
 def _(spark, sf):
     p = v.table(spark, sf, "part")
     hits = p.select(F.col("p_partkey").alias("lookup_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("decimal(12,2)")).alias("quoted"))
-    off = v.offers(spark, sf).where("l_suppkey % 7 = 3").select(F.col("l_partkey").alias("lookup_id"), "price")
+    off = v.offers(spark, sf).select(F.when(F.col("l_suppkey") % 7 == 3, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("lookup_id"), "price")
     return o.live_offer_stats(hits, off)
 
 
@@ -105,27 +105,27 @@ def _(spark, sf):
     return o.collect_sources(source_prices(spark, sf)).select("wine_id", F.array_join(F.transform("sources", one), "|").alias("sources"))
 
 
-@register("union_sources", s.q("offers", "SELECT source, count(*) AS n, sum(price) AS total FROM (SELECT 'east' AS source, price FROM offers WHERE l_suppkey % 7 = 1 UNION ALL SELECT 'west', price FROM offers WHERE l_suppkey % 7 = 2) GROUP BY source"))
+@register("union_sources", s.q("offers", "SELECT source, count(*) AS n, sum(price) AS total FROM (SELECT CASE WHEN l_suppkey % 7 < 3 THEN 'east' ELSE 'west' END AS source, price FROM offers) GROUP BY source"))
 def _(spark, sf):
     off = v.offers(spark, sf).drop("source")
     none = off.where("false")
-    stacked = o.union_sources({"east": off.where("l_suppkey % 7 = 1"), "west": off.where("l_suppkey % 7 = 2"), "silent": none})
+    stacked = o.union_sources({"east": off.where("l_suppkey % 7 < 3"), "west": off.where("l_suppkey % 7 >= 3"), "silent": none})
     return stacked.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
-@register("latest_price", s.q("source_prices cat", "SELECT id, CASE WHEN avg_price > 0 THEN avg_price WHEN avg_retail_price > 0 THEN avg_retail_price END AS price FROM cat LEFT JOIN (SELECT * FROM source_prices WHERE source = 'src3') ON wine_id = id"))
+@register("latest_price", s.q("source_prices cat", "SELECT id, source, CASE WHEN avg_price > 0 THEN avg_price WHEN avg_retail_price > 0 THEN avg_retail_price END AS price FROM cat LEFT JOIN source_prices ON wine_id = id"))
 def _(spark, sf):
-    seen = source_prices(spark, sf).where("source = 'src3'").select("wine_id", "avg_price")
+    seen = source_prices(spark, sf).select("wine_id", "source", "avg_price")
     out = v.cat(spark, sf).join(seen, F.col("id") == F.col("wine_id"), "left")
-    return out.select("id", o.latest_price(F.col("avg_price"), F.col("avg_retail_price")).alias("price"))
+    return out.select("id", "source", o.latest_price(F.col("avg_price"), F.col("avg_retail_price")).alias("price"))
 
 
 V = s.VIEWS
-V["year_prices"] = (["offers"], "SELECT wine_id, vintage, max(price) AS price, max(fetched_at) AS fetched_at FROM offers WHERE l_suppkey % 2 = 0 GROUP BY ALL")
+V["year_prices"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 2 = 0')} AS wine_id, vintage, max(price) AS price, max(fetched_at) AS fetched_at FROM offers GROUP BY ALL")
 
 
 def year_prices(spark, sf):
-    return v.offers(spark, sf).where("l_suppkey % 2 = 0").groupBy("wine_id", "vintage").agg(
+    return v.offers(spark, sf).groupBy(v.other_key("l_suppkey % 2 = 0"), "vintage").agg(
         F.max("price").alias("price"), F.max("fetched_at").alias("fetched_at")
     )
 
@@ -147,9 +147,9 @@ def _(spark, sf):
     return o.vintage_fallback_join(wanted, year_prices(spark, sf).drop("fetched_at"))
 
 
-@register("priority_pick", s.q("year_prices", "SELECT item_id, vintage, price FROM (SELECT wine_id AS item_id, vintage, price FROM year_prices) WHERE vintage IS NULL OR vintage >= 1997 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY vintage ASC NULLS LAST) = 1"))
+@register("priority_pick", s.q("year_prices", "SELECT item_id, vintage, price FROM (SELECT wine_id AS item_id, vintage, price FROM year_prices) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY vintage ASC NULLS LAST) = 1"))
 def _(spark, sf):
-    rows = year_prices(spark, sf).where("vintage is null or vintage >= 1997")
+    rows = year_prices(spark, sf)
     return o.priority_pick(rows.select(F.col("wine_id").alias("item_id"), "vintage", "price"))
 
 

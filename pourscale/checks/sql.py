@@ -70,6 +70,10 @@ def producer_key(expr: str) -> str:
     return f"trim({sub(bare, r'\s{2,}', ' ')})"
 
 
+def other_key(condition: str, other: str = "z") -> str:
+    return f"CASE WHEN {condition} THEN wine_id ELSE '{other}' || wine_id END"
+
+
 def slug(expr: str, limit: int | None = None) -> str:
     out = sub(sub(f"strip_accents(lower({expr}))", "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return f"left({out}, {limit})" if limit else out

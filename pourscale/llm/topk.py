@@ -28,39 +28,56 @@ from pourscale.llm.vectors import matrix
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 FEW = 64
+ROUNDS = (4, 8, 12, 15)  # sixteenths of the lists after which bounds are compared
 
 
 class SortedLists:
-    """A block's lists: a row's place in each from either end, and the lists' values."""
+    """A block's rows and, for each component, the list of its values in order.
+
+    A list read to some depth from its top tells every value down to the one read
+    last; a row not met there has at most that value, and at least the list's least.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, order, 0)
-        self.place = np.empty(rows.shape, np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(rows), dtype=np.int32)[:, None], 0)
-
-    def search(self, query: np.ndarray, own: int, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own."""
-        n = len(self.rows)
-        alive = np.flatnonzero(self.ids != own)
-        use = np.flatnonzero(query)
-        q, ahead = query[use], query[use] > 0
-        values = self.values[:, use] * q
-        least = np.where(ahead, values[:1], values[-1:])[0] if n else values.sum(0)
-        depth = max(1, n // 16)
-        while len(alive) > max(few, k) and len(use) and depth < n:
-            place = self.place[alive[:, None], use]
-            seen = np.where(ahead, n - 1 - place, place) < depth
-            read = self.rows[alive[:, None], use] * q
-            present = np.where(ahead, values[n - depth], values[depth - 1])
-            lower = np.where(seen, read, least).sum(1)
-            upper = np.where(seen, read, present).sum(1)
-            alive = alive[upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
-            depth += max(1, depth // 2)
-        scores = self.rows[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive[best]], scores[best]
+        self.ids, self.rows, self.lists = ids, rows, np.sort(rows, axis=0)
+
+    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores (rows by queries) after reading to a depth.
+
+        up and down: the queries' positive components, which read from the top, and negative ones, which read from the bottom.
+        """
+        top, bottom, least, most = self.lists[-depth], self.lists[depth - 1], self.lists[0], self.lists[-1]
+        upper = np.maximum(self.rows, top) @ up + np.minimum(self.rows, bottom) @ down
+        lower = np.where(self.rows >= top, self.rows, least) @ up + np.where(self.rows <= bottom, self.rows, most) @ down
+        return lower, upper
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best rows but its own."""
+        n, found = len(self.rows), [None] * len(queries)
+        left = np.arange(len(queries))
+        for depth in sorted({max(1, n * part // 16) for part in ROUNDS}) if n > max(few, k) else []:
+            if not len(left):
+                break
+            q = queries[left].T
+            lower, upper = self.bounds(depth, np.maximum(q, 0), np.minimum(q, 0))
+            self_row = self.ids[:, None] == own[left]
+            lower[self_row] = upper[self_row] = lower.min() - 1
+            alive = upper >= np.partition(lower, n - k, axis=0)[n - k]
+            decided = alive.sum(0) <= max(few, k)
+            for j in np.flatnonzero(decided):
+                found[left[j]] = self._best(np.flatnonzero(alive[:, j] & ~self_row[:, j]), queries[left[j]], k)
+            left = left[~decided]
+        for j in left:  # the lists have ended
+            found[j] = self._best(np.flatnonzero(self.ids != own[j]), queries[j], k)
+        return found
+
+    def _best(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.rows[at] @ query
+        if len(at) > k:
+            near = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+            at, scores = at[near], scores[near]
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        return self.ids[at[best]], scores[best]
 
 
 def _search_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -68,11 +85,11 @@ def _search_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.Data
     largest = int(np.abs(both).max(initial=0))
     if largest**2 * both.shape[1] < 1 << 53:
         both = both.astype(np.float64)  # exact, and faster
-    lists = SortedLists(rows["id"].to_numpy(), both[len(queries) :])
-    found = [(own, *lists.search(q, own, k)) for own, q in zip(queries["id"], both)]
+    own = queries["id"].to_numpy(np.int64)
+    found = SortedLists(rows["id"].to_numpy(np.int64), both[len(queries) :]).search(both[: len(queries)], own, k)
     return pd.DataFrame({
-        "query_id": np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]),
-        "id": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[2] for f in found] or [[]]).astype(np.int64),
+        "query_id": np.repeat(own, [len(f[0]) for f in found]),
+        "id": np.concatenate([f[0] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64),
     })
 
 

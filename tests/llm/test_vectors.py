@@ -42,14 +42,23 @@ def test_top_k_equals_brute_force(spark):
         assert len(got) == 14
 
 
-def test_reading_stops_before_the_lists_end():
+def test_bounds_hold_and_reading_stops_before_the_lists_end(monkeypatch):
     rng = np.random.default_rng(1)
-    rows = rng.normal(size=(2000, 3))
+    rows = np.round(rng.normal(size=(2000, 3)) * 50)
     lists = topk.SortedLists(np.arange(2000), rows)
-    query = np.array([1.0, -2.0, 0.0])
-    ids, scores = lists.search(query, -1, 5)
-    best = np.argsort(-(rows @ query))[:5]
-    assert ids.tolist() == best.tolist() and np.allclose(scores, (rows @ query)[best])
+    queries = np.array([[1.0, -2.0, 0.0], [3.0, 1.0, -1.0]])
+    scores = rows @ queries.T
+    for depth in (1, 100, 1999, 2000):
+        lower, upper = lists.bounds(depth, np.maximum(queries.T, 0), np.minimum(queries.T, 0))
+        assert (lower <= scores).all() and (scores <= upper).all()
+    assert (lower == scores).all() and (upper == scores).all()
+    resolved = []
+    best = topk.SortedLists._best
+    monkeypatch.setattr(topk.SortedLists, "_best", lambda self, at, q, k: resolved.append(len(at)) or best(self, at, q, k))
+    for j, (ids, got) in enumerate(lists.search(queries, np.array([-1, 7]), 5)):
+        wanted = [i for i in np.lexsort((np.arange(2000), -scores[:, j])) if i != 7 or j == 0][:5]
+        assert ids.tolist() == wanted and (got == scores[wanted, j]).all()
+    assert max(resolved) <= topk.FEW
 
 
 def test_top_k_of_few_large_and_empty(spark):

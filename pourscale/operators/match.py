@@ -359,15 +359,14 @@ def strong_matches(matches: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ search
 def search_scores(index: DataFrame, queries: list[str], wine_type: str | None = None, country: str | None = None) -> DataFrame:
-    """Score every (filtered) product for a short list of caller-given texts.
+    """Score every (filtered) product for a list of caller-given texts.
 
     The texts travel with the plan as literals, so the catalog is scanned once
-    and no table is joined.  Filters run before scoring.
+    and no table is joined.  Filters run before scoring.  A table of texts is
+    better matched with ``fuzzy_match``.
     """
     from pourscale.functions.items import parse_items
 
-    if len(queries) > 50:
-        raise ValueError("search takes at most 50 texts per call; match a table of texts with fuzzy_match")
     if wine_type:
         index = index.where(F.col("wine_type") == wine_type)
     if country:

@@ -99,7 +99,7 @@ def rank_table(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
 
 def write_ids(docs: DataFrame, folder: str, path: str = TOKENIZER, end: int = END, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files of docs below folder; returns the list of files: file, part, docs, ids."""
-    tokens = written(tokenized(docs, path, end).select("doc_id", "ids"), "idfile-ids")
+    tokens = written(tokenized(docs, path, end).select("doc_id", "ids"), "idfile-ids", "zstd")
     dtype = encoder(path).dtype
     ranks = rank_table(tokens, dtype).toPandas()
     rank_of = np.zeros(int(ranks["id"].max()) + 1 if len(ranks) else 1, np.uint32)

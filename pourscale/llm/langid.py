@@ -118,6 +118,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_R
     bare = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
 
     def centres_of(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc_id", "text"])  # sums in one order: the same model again
         x = np.zeros((len(group), DIMS), np.float32)
         for row, text in zip(x, group["text"]):
             at, values = bare.vector(text)
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_R
         centres, least = cluster(x, centroids)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "radius": slack * least.astype(float), "centre": [c.tolist() for c in centres]})
 
-    rows = known.join(chosen, ["doc_id", "lang"]).select("lang", "text").groupBy("lang").applyInPandas(centres_of, "lang string, radius double, centre array<float>").collect()
+    rows = known.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").groupBy("lang").applyInPandas(centres_of, "lang string, radius double, centre array<float>").collect()
     rows.sort(key=lambda r: (r["lang"], r["centre"]))
     return Model([r["lang"] for r in rows], np.ascontiguousarray(np.array([r["centre"] for r in rows], np.float32).reshape(len(rows), DIMS).T), np.array([r["radius"] for r in rows]), idf)
 

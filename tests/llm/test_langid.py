@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tables import CLASHING, documents, empty
 
 from pourscale.llm import langid
@@ -45,3 +46,45 @@ def test_same_model_again(spark):
     docs = documents(spark, [t for t, _ in labelled()], langs=sorted(WORDS))
     a, b = langid.fit(docs), langid.fit(docs)
     assert a.langs == b.langs and (a.centres == b.centres).all()
+
+
+SYLLABLES = {"aa": "the an ing wat er st ou".split(), "bb": "der ün ich ßen zu auf kl".split(), "cc": "que ção lh es ado mui ve".split(), "dd": "ska och på för jag inte vy".split()}
+
+
+def sentences(lang, n, seed):
+    rng = random.Random(f"{lang}{seed}")
+    lexicon = ["".join(rng.choice(SYLLABLES[lang]) for _ in range(1 + i % 3)) for i in range(150)]
+    return [" ".join(rng.choice(lexicon) for _ in range(10 + 5 * (i % 30))) for i in range(n)]
+
+
+def test_what_was_not_learned_is_rejected(spark):
+    rng = random.Random(3)
+    outliers = ["zzqx " * 9, "kvvw jjq", "aa"]  # no cluster of their own
+    rows = [(t, lang) for lang in ("aa", "bb", "cc") for t in sentences(lang, 150, 1) + outliers]
+    model = langid.fit(documents(spark, [t for t, _ in rows], langs=[lang for _, lang in rows]))
+    clean = [(t, lang) for lang in ("aa", "bb", "cc") for t in sentences(lang, 100, 2)]
+    found = [model.nearest(t) for t, _ in clean]
+    assert sum(f[0] == lang and not f[2] for f, (_, lang) in zip(found, clean)) >= 0.99 * len(clean)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (60, 300, 2000) for _ in range(40)]
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (20, 100, 700) for _ in range(40)]
+    for text in letters + chinese + sentences("dd", 100, 1):
+        assert model.nearest(text)[2], text
+
+
+def test_clusters_hold_many_rows():
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(1, 0.2, (300, 40)))
+    x[:3] = np.eye(40)[:3]  # outliers
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = (x @ langid.cluster(x, 3).T).argmax(1)
+    assert np.bincount(own).min() >= 15
+    assert len(langid.cluster(np.repeat(x[:1], 5, 0), 3)) == 1
+
+
+def test_radius_is_a_low_quantile_of_rows_not_learned_from(spark):
+    rows = [(t, lang) for lang in ("aa", "bb") for t in sentences(lang, 200, 1)]
+    docs = documents(spark, [t for t, _ in rows], langs=[lang for _, lang in rows])
+    model = langid.fit(docs, sample_rows=40)
+    for lang, radius in zip(model.langs, model.radius):
+        close = [model.closeness(t, lang) for t, own in rows if own == lang]
+        assert langid.SLACK * (min(close) - 0.002) <= radius <= langid.SLACK * sorted(close)[12]

@@ -16,6 +16,7 @@ becomes a component id unless a component holds no other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -130,10 +131,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return rows.join(of, "fp").select("doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("first_digest"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: its smallest doc_id (of equal ids the smallest digest of the text, of equal texts one row)."""
+def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one row of each component that find makes: its smallest doc_id (of equal ids the smallest digest of the text, of equal texts one row)."""
     own, digest, copies = unused(docs, "kept_id"), unused(docs, "kept_digest"), unused(docs, "kept_rows")
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("first_digest")))
+    found = find(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("first_digest")))
     kept = written(found.groupBy(F.col("doc_id").alias(own), F.col("digest").alias(digest)).agg(F.count(F.lit(1)).alias(copies)), "simhash-kept")
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own]) & (text_digest(docs["text"]) == kept[digest]))
     single = rows.where(F.col(copies) == 1).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import idfile, langid, mixing, nndescent, packing, secrets, simhash, topk, toxicity, vectors, warc
+from pourscale.llm import idfile, langid, mixing, nndescent, packing, repair, secrets, simhash, topk, toxicity, vectors, warc
 from pourscale.llm.common import id_crc, prepare, read
 from pourscale.session import work_folder
 
@@ -125,3 +125,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), langid.identify(spark, model)("text").alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    given = read(spark, sf_dir, "conversations")
+    found, rows = repair.repair(repair.damaged(repair.whole(given)))
+    hashes = repair.text_hashes(rows).withColumnRenamed("conv_id", "hashed")
+    made = found.join(hashes, F.col("conv_id").eqNullSafe(F.col("hashed")), "left").withColumnRenamed("conv_id", "of")
+    every = given.select("conv_id").distinct().join(made, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    number = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in number), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import idfile, langid, mixing, nndescent, packing, repair, secrets, simhash, topk, toxicity, vectors, warc
+from pourscale.llm import idfile, langid, mixing, nndescent, packing, repair, secrets, simhash, superminhash, topk, toxicity, vectors, warc
 from pourscale.llm.common import id_crc, prepare, read
 from pourscale.session import work_folder
 
@@ -137,3 +137,27 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = given.select("conv_id").distinct().join(made, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     number = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     return every.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in number), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = superminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL["op12_superminhash"] = r"""
+with recursive w as (
+       select row_number() over () as row, doc_id,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     sets as (
+       select row, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+     members as (select row, len(s) as n, unnest(s) as m from sets),
+     links as (
+       select a.row as x, b.row as y from members a join members b on a.m = b.m and a.row <> b.row
+       group by a.row, b.row, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+     reached as (select row as x, row as y from sets union select r.x, l.y from reached r join links l on l.x = r.y),
+     least as (select x, min(doc_id) as component_id from reached join sets on sets.row = y group by x)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join least on x = row
+"""

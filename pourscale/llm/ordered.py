@@ -66,14 +66,15 @@ def join_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return some.unionByName(rest)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, each: int = 256) -> DataFrame:
-    """rows joined with table, which has each key once; rows should be cheap to read twice.
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, how: str = "inner", each: int = 256) -> DataFrame:
+    """rows joined with table, which has each key once; rows should be cheap to read twice and keys not null.
 
     The HOT most frequent keys with over ``each`` rows are dealt out by the hash of column ``by``: their rows of
     table are repeated once for every ``each`` rows, so no task has to take all rows of a frequent key.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("of_key")).where(F.col("of_key") > each).orderBy(F.desc("of_key"), key).limit(HOT)
-    hot = F.broadcast(hot.select(key, F.ceil(F.col("of_key") / each).cast("int").alias("shares")))
+    key = [key] if isinstance(key, str) else key
+    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("of_key")).where(F.col("of_key") > each).orderBy(F.desc("of_key"), *key).limit(HOT)
+    hot = F.broadcast(hot.select(*key, F.ceil(F.col("of_key") / each).cast("int").alias("shares")))
     left = rows.join(hot, key, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(by), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
     right = table.join(hot, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return left.join(right, [key, "share"]).drop("share")
+    return left.join(right, [*key, "share"], how).drop("share")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourscale.llm import idfile, langid, mixing, nndescent, packing, repair, secrets, simhash, superminhash, topk, toxicity, vectors, warc
+from pourscale.llm import idfile, langid, mixing, nndescent, packing, repair, secrets, simhash, superminhash, topk, toxicity, trie, vectors, warc
 from pourscale.llm.common import id_crc, prepare, read
 from pourscale.session import work_folder
 
@@ -161,3 +161,9 @@ with recursive w as (
      least as (select x, min(doc_id) as component_id from reached join sets on sets.row = y group by x)
 select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join least on x = row
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark, 4096)
+    return trie.prefix_trie(*trie.rebuilt(trie.turns_of(read(spark, sf_dir, "conversations"))))

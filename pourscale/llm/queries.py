@@ -163,7 +163,114 @@ select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept
 """
 
 
+#: Tables crc (crc32 of a string of ASCII characters as a step over its bytes) for the SQL twins.
+_CRC = """
+crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by i) as t
+        from (select unnest(range(256)) as i))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the crc32 of an ASCII text, beside table crc."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: cast(ascii(x) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _edit_rows() -> str:
+    """SQL values of all edits of one row in the repair: kind of row, states before and after, cost, initials, inserted lines, role set."""
+    rows = []
+    for kind in "xsuaoSUAO":
+        extra = repair.TRUNCATED if kind.isupper() else 0
+        for i, ways in repair._INSERTS.items():
+            for k, n in ways.items():
+                lines = "".join(("assistant:" if (i == repair.USER) == (m == 0) else "user:") + "~" for m in range(n))
+                rows.append((kind, i, k, repair.INSERT * n + repair.DELETE, "I" * n + "D", lines, ""))
+                if kind != "x":
+                    kept = repair._NEXT[kind.lower()].get(k)
+                    rows += [(kind, i, kept, repair.INSERT * n + extra, "I" * n + "K", lines, "")] if kept is not None else []
+                    to = repair.ASSISTANT if k == repair.USER else repair.USER
+                    rows.append((kind, i, to, repair.INSERT * n + extra + repair.RETAG, "I" * n + "R", lines, "assistant" if k == repair.USER else "user"))
+    return ", ".join(map(str, rows))
+
+
+SQL["op11_structure_repair"] = (
+    r"""
+with recursive """
+    + _CRC
+    + r""",
+     edits(kind, i, j, cost, initials, lines, role) as (values """
+    + _edit_rows()
+    + r"""),
+     given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                      """
+    + _crc("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")
+    + r""" % 20 as draw from conversations, crc),
+     damaged as (
+       select conv_id, turn, role as role0, md5(text) as text0, copy, case when draw = 4 then 'user' else role end as role,
+              case draw when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+       from given, (values (0), (1)) as copies(copy) where draw <> 0 and (copy = 0 or draw = 3)),
+     placed as (
+       select *, row_number() over (partition by conv_id order by turn nulls first, role0, text0, copy) as n,
+              regexp_replace(text, '[\x20\x09-\x0D]+$', '') as body from damaged),
+     faults as (
+       select *, case when body = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+                      when right(body, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+              left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by n) as before from placed),
+     kinds as (
+       select *, case when fault in ('blank', 'duplicate') then 'x' when fault = 'truncated' then upper(k) else k end as kind
+       from (select *, case when initial in ('s', 'u', 'a') then initial else 'o' end as k from faults)),
+     steps as (
+       select distinct conv_id, 0 as n, 0 as state, {'cost': 0, 'audit': '', 'out': ''} as best from kinds
+       union all
+       select k.conv_id, k.n, e.j, min({'cost': s.best.cost + e.cost, 'audit': s.best.audit || e.initials,
+              'out': s.best.out || replace(e.lines, '~', chr(10))
+                     || case right(e.initials, 1) when 'D' then '' when 'R' then e.role || ':' || k.text || chr(10) else k.role || ':' || k.text || chr(10) end})
+       from steps s join kinds k on k.conv_id is not distinct from s.conv_id and k.n = s.n + 1 join edits e on e.kind = k.kind and e.i = s.state
+       group by k.conv_id, k.n, e.j),
+     counts as (
+       select conv_id, max(n) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+              count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+              count(*) filter (where n > 1 and before || initial not in ('su', 'ua', 'au')) as illegal from kinds group by conv_id),
+     done as (
+       select c.*, min({'cost': s.best.cost + f.cost, 'audit': s.best.audit || f.initials, 'out': s.best.out || replace(f.lines, '~', chr(10))}) as best
+       from counts c join steps s on s.conv_id is not distinct from c.conv_id and s.n = c.n
+            join (values (0, 0, '', ''), (1, 10, 'II', 'user:~assistant:~'), (2, 5, 'I', 'assistant:~'), (3, 0, '', '')) as f(state, cost, initials, lines) on f.state = s.state
+       group by all)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(left(best.out, length(best.out) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join done d on d.conv_id is not distinct from o.conv_id
+"""
+)
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark, 4096)
     return trie.prefix_trie(*trie.rebuilt(trie.turns_of(read(spark, sf_dir, "conversations"))))
+
+
+SQL["op13_prefix_trie"] = (
+    r"""
+with """
+    + _CRC
+    + r""",
+     given as (
+       select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                            order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as own
+       from conversations where conv_id is not null group by conv_id),
+     drawn as (select conv_id, own, """
+    + _crc("cast(conv_id as varchar)")
+    + r""" % 6 as h from given, crc),
+     made as (select c.conv_id, list_concat(coalesce(b.own, [])[1:h], c.own[h + 1:]) as turns from drawn c left join given b on b.conv_id = c.conv_id - c.conv_id % 100),
+     steps as (select conv_id, len(turns) as n, unnest(range(len(turns) + 1)) as depth, turns from made),
+     prefixes as (select conv_id, n, depth, turns[1:depth] as prefix, turns[1:depth - 1] as parent, coalesce(length(turns[depth].text), 0) as size from steps),
+     nodes as (
+       select depth, prefix, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+              coalesce(string_agg(conv_id, ',' order by conv_id) filter (where n = depth), '') as ending from prefixes group by depth, prefix),
+     children as (select depth - 1 as depth, parent as prefix, count(*) as n_children from nodes where depth > 0 group by depth, parent),
+     counted as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (depth, prefix)),
+     above as (select unnest(range(depth + 1)) as depth, prefix, n_children = 0 as leaf, (n_convs - 1) * size as saved from counted),
+     sums as (select depth, prefix[1:depth] as prefix, count(*) filter (where leaf) as n_leaves, sum(saved) as saved from above group by all)
+select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(c.ending) as ends_sha256
+from counted c join sums s on s.depth = c.depth and s.prefix = c.prefix left join nodes p on c.depth > 0 and p.depth = c.depth - 1 and p.prefix = c.parent
+"""
+)

@@ -10,23 +10,31 @@ from pourscale.functions import similarity as sim, text as tx
 from pourscale.functions.pricing import confidence_level
 from pourscale.operators import match as mt
 from pourscale.plans.analyze import pin_products
+from pourscale.session import staged
 
 V = s.VIEWS
 QUERIES = ["Old Anvil", "Château Economy Blue Ring 2015", "promo estate hot", "standrd hous red widgt"]
 
 
-def similarity_views(name: str, source: str) -> None:
-    """Views name (with ratio, sort, set, jaro columns) over distinct (a, b) of source."""
+def word_views(name: str, source: str) -> None:
+    """View name_j: distinct (a, b) of source with their sorted words and the texts of their word sets."""
     srt = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
     V[f"{name}_w"] = ([source], f"""SELECT a, b, sa, sb, array_to_string(both_, ' ') AS common, array_to_string(list_filter(xa, lambda t: NOT list_contains(both_, t)), ' ') AS ra,
         array_to_string(list_filter(xb, lambda t: NOT list_contains(both_, t)), ' ') AS rb
       FROM (SELECT *, list_sort(list_intersect(xa, xb)) AS both_ FROM (SELECT a, b, {srt('a')} AS sa, {srt('b')} AS sb,
         list_sort(list_distinct(list_filter(string_split(a, ' '), lambda t: t <> ''))) AS xa, list_sort(list_distinct(list_filter(string_split(b, ' '), lambda t: t <> ''))) AS xb FROM {source}))""")
     V[f"{name}_j"] = ([f"{name}_w"], f"""SELECT *, trim(common || ' ' || ra) AS ja, trim(common || ' ' || rb) AS jb FROM {name}_w""")
+
+
+_SET = """CASE WHEN ja = '' OR jb = '' THEN 0.0 WHEN common <> '' AND (ra = '' OR rb = '') THEN 1.0
+        WHEN common <> '' THEN greatest(t3.sim, 2.0 * length(common) / (length(common) + length(ja)), 2.0 * length(common) / (length(common) + length(jb))) ELSE t3.sim END AS set_"""
+
+
+def similarity_views(name: str, source: str) -> None:
+    """Views name (with ratio, sort, set, jaro columns) over distinct (a, b) of source."""
+    word_views(name, source)
     V[f"{name}_t"] = ([f"{name}_j"], f"""SELECT DISTINCT x, y, {s.indel('x', 'y')} AS sim FROM (SELECT a AS x, b AS y FROM {name}_j UNION SELECT sa, sb FROM {name}_j UNION SELECT ja, jb FROM {name}_j)""")
-    V[name] = ([f"{name}_j", f"{name}_t"], f"""SELECT j.a, j.b, t1.sim AS ratio, t2.sim AS sort_, CASE WHEN ja = '' OR jb = '' THEN 0.0 WHEN common <> '' AND (ra = '' OR rb = '') THEN 1.0
-        WHEN common <> '' THEN greatest(t3.sim, 2.0 * length(common) / (length(common) + length(ja)), 2.0 * length(common) / (length(common) + length(jb))) ELSE t3.sim END AS set_,
-        jaro_winkler_similarity(j.a, j.b) AS jaro
+    V[name] = ([f"{name}_j", f"{name}_t"], f"""SELECT j.a, j.b, t1.sim AS ratio, t2.sim AS sort_, {_SET}, jaro_winkler_similarity(j.a, j.b) AS jaro
       FROM {name}_j j JOIN {name}_t t1 ON t1.x = j.a AND t1.y = j.b JOIN {name}_t t2 ON t2.x = sa AND t2.y = sb JOIN {name}_t t3 ON t3.x = ja AND t3.y = jb""")
 
 
@@ -34,21 +42,27 @@ similarity_views("psim", "pairs")
 _AD = "greatest(ratio, sort_ * 0.95, set_ * 0.95)"
 
 
-def scored_pairs(spark, sf):
-    return v.pairs(spark, sf).withColumn("s", sim.pair_scores(F.col("a"), F.col("b")))
+def six(c, name=None):
+    """A number of zero or more in six decimals, as ``millionths`` in SQL."""
+    whole = F.round((F.col(c) if isinstance(c, str) else c).cast("double") * 1_000_000_000).cast("bigint") + 500
+    return ((whole - F.pmod(whole, F.lit(1000))) / 1000 / 1_000_000).alias(name or c)
 
 
-def similarity_query(name, column, expr, alias):
-    register(name, s.q("psim", f"SELECT a, b, round({expr}, 6) AS {alias} FROM psim"))(
-        lambda spark, sf: scored_pairs(spark, sf).select("a", "b", F.round(column(F.col("s")), 6).alias(alias))
+def similarity_query(name, column, expr):
+    register(name, s.q("psim", f"SELECT a, b, {s.millionths(expr)} AS sim FROM psim"))(
+        lambda spark, sf: v.pairs(spark, sf).select("a", "b", six(column(F.col("a"), F.col("b")), "sim"))
     )
 
 
-similarity_query("indel_similarity", lambda x: x["ratio"], "ratio", "sim")
-similarity_query("token_sort_similarity", lambda x: x["sort"], "sort_", "sim")
-similarity_query("token_set_similarity", lambda x: x["set"], "set_", "sim")
-similarity_query("jaro_winkler", lambda x: x["jaro"], "jaro", "sim")
-similarity_query("adaptive_similarity", sim.adaptive, _AD, "sim")
+similarity_query("indel_similarity", sim.indel_similarity, "ratio")
+similarity_query("token_sort_similarity", sim.token_sort_similarity, "sort_")
+similarity_query("token_set_similarity", sim.token_set_similarity, "set_")
+similarity_query("jaro_winkler", sim.jaro_winkler, "jaro")
+
+
+@register("adaptive_similarity", s.q("psim", f"SELECT a, b, {s.millionths(_AD)} AS sim FROM psim"))
+def _(spark, sf):
+    return sim.pair_scores(v.pairs(spark, sf), "a", "b", "s").select("a", "b", six(sim.adaptive(F.col("s")), "sim"))
 
 # ------------------------------------------------------------------ index views
 V["idx"] = (["cat"], f"""SELECT *, {s.normalize('name')} AS n_name, {s.normalize('producer')} AS n_producer, {s.normalize('aliases[1]')} AS n_alias, {s.normalize_producer('producer')} AS gate_text,
@@ -63,7 +77,7 @@ V["cands"] = (["qs", "prof", "passed"], "SELECT * FROM qs JOIN passed USING (q_g
 
 
 def _r(c):
-    return f"round(round(CAST({c} AS DOUBLE), 9), 6) AS {c}"
+    return f"{s.millionths(c)} AS {c}"
 
 
 def scoring_views(prefix: str, cands: str) -> None:
@@ -96,11 +110,6 @@ V["item_matches"] = (["pk", "ranked"], f"""SELECT item_id, p.menu_text, r.wine_i
     USING (q, q_gate, q_year, kr, kv, kt)""")
 
 
-def _round(c):
-    """Six decimals of nine: sums that differ in their last bit stay together at a half."""
-    return F.round(F.round(F.col(c).cast("double"), 9), 6).alias(c)
-
-
 def index(spark, sf):
     return mt.catalog_index(v.cat(spark, sf))
 
@@ -113,6 +122,10 @@ def matches(spark, sf):
     return mt.fuzzy_match(parsed(spark, sf), index(spark, sf), item_cols=["item_id", "menu_text"])
 
 
+def scores(spark, sf):
+    return mt.match_scores(queries_(spark, sf), mt.catalog_profiles(index(spark, sf), 5)[0])
+
+
 def profiles(spark, sf):
     return mt.catalog_profiles(index(spark, sf), 5)[0].withColumn("n_alias", F.col("n_aliases")[0])
 
@@ -140,26 +153,26 @@ def _(spark, sf):
 
 @register("match_score", s.q("m_scored", f"SELECT {', '.join(_QCOLS + _PCOLS)}, {', '.join(map(_r, ['name_score', 'producer_score', 'alias_score', 'base_text']))} FROM m_scored"))
 def _(spark, sf):
-    out = mt.match_scores(mt.candidate_pairs(queries_(spark, sf), mt.catalog_profiles(index(spark, sf), 5)[0]))
-    sc = [_round(c) for c in ("name_score", "producer_score", "alias_score", "base_text")]
+    out = scores(spark, sf)
+    sc = [six(c) for c in ("name_score", "producer_score", "alias_score", "base_text")]
     return out.withColumn("n_alias", F.col("n_aliases")[0]).select(*_QCOLS, *_PCOLS, *sc)
 
 
-@register("structural_bonus", s.q("m_scored", f"SELECT {', '.join(_QCOLS + _PCOLS)}, CAST(vintage_bonus AS DOUBLE) AS vintage_bonus, CAST(region_bonus AS DOUBLE) AS region_bonus, CAST(varietal_bonus AS DOUBLE) AS varietal_bonus, CAST(type_bonus AS DOUBLE) AS type_bonus, round(score, 6) AS score FROM m_scored"))
+@register("structural_bonus", s.q("m_scored", f"SELECT {', '.join(_QCOLS + _PCOLS)}, CAST(vintage_bonus AS DOUBLE) AS vintage_bonus, CAST(region_bonus AS DOUBLE) AS region_bonus, CAST(varietal_bonus AS DOUBLE) AS varietal_bonus, CAST(type_bonus AS DOUBLE) AS type_bonus, {s.millionths('score')} AS score FROM m_scored"))
 def _(spark, sf):
-    out = mt.match_scores(mt.candidate_pairs(queries_(spark, sf), mt.catalog_profiles(index(spark, sf), 5)[0]))
+    out = scores(spark, sf)
     b = ["vintage_bonus", "region_bonus", "varietal_bonus", "type_bonus"]
-    return out.withColumn("n_alias", F.col("n_aliases")[0]).select(*_QCOLS, *_PCOLS, *b, F.round("score", 6).alias("score"))
+    return out.withColumn("n_alias", F.col("n_aliases")[0]).select(*_QCOLS, *_PCOLS, *b, six("score"))
 
 
 @register("score_breakdown", s.q("item_matches", f"SELECT item_id, rank, {', '.join(_r(c) for c in _SHOWN)} FROM item_matches"))
 def _(spark, sf):
-    return matches(spark, sf).select("item_id", "rank", *[_round(c) for c in _SHOWN])
+    return matches(spark, sf).select("item_id", "rank", *[six(c) for c in _SHOWN])
 
 
-@register("fuzzy_match_join", s.q("item_matches", "SELECT item_id, wine_id, rank, round(score, 6) AS score FROM item_matches"))
+@register("fuzzy_match_join", s.q("item_matches", f"SELECT item_id, wine_id, rank, {_r('score')} FROM item_matches"))
 def _(spark, sf):
-    return matches(spark, sf).select("item_id", "wine_id", "rank", F.round("score", 6).alias("score"))
+    return matches(spark, sf).select("item_id", "wine_id", "rank", six("score"))
 
 
 @register("match_top_k", s.q("item_matches", f"SELECT item_id, max(CASE WHEN rank = 1 THEN wine_id END) AS wine_id, max(CASE WHEN rank = 1 THEN round(score, 4) END) AS confidence, {s.level('max(CASE WHEN rank = 1 THEN score END)')} AS confidence_level, coalesce(string_agg(CASE WHEN rank > 1 THEN wine_id END, '|' ORDER BY rank), '') AS alternatives FROM item_matches GROUP BY item_id"))
@@ -185,10 +198,17 @@ def _(spark, sf):
     return m.groupBy(confidence_level(F.col("score")).alias("confidence_level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("alias_best_join", s.q("m_scored", "SELECT q, n_alias, round(max(alias_score), 6) AS alias_score FROM m_scored GROUP BY ALL"))
+V["al_pairs"] = (["cands"], "SELECT DISTINCT q AS a, n_alias AS b FROM cands")
+word_views("al", "al_pairs")
+V["al_t"] = (["al_j"], f"SELECT DISTINCT x, y, {s.indel('x', 'y')} AS sim FROM (SELECT sa AS x, sb AS y FROM al_j UNION SELECT ja, jb FROM al_j)")
+V["al_sim"] = (["al_j", "al_t"], f"SELECT j.a, j.b, t2.sim AS sort_, {_SET} FROM al_j j JOIN al_t t2 ON t2.x = sa AND t2.y = sb JOIN al_t t3 ON t3.x = ja AND t3.y = jb")
+
+
+@register("alias_best_join", s.q("al_sim", f"SELECT a AS q, b AS n_alias, {s.millionths('sort_ * 0.55 + set_ * 0.45')} AS alias_score FROM al_sim"))
 def _(spark, sf):
-    out = mt.match_scores(mt.candidate_pairs(queries_(spark, sf), mt.catalog_profiles(index(spark, sf), 5)[0]))
-    return out.groupBy("q", F.col("n_aliases")[0].alias("n_alias")).agg(F.round(F.max("alias_score"), 6).alias("alias_score"))
+    queries, profiles = staged(queries_(spark, sf), "alias-queries"), staged(mt.catalog_profiles(index(spark, sf), 5)[0], "alias-profiles")
+    pairs = staged(mt.text_pairs(queries, profiles), "alias-pairs")
+    return mt.alias_scores(pairs).select("q", F.col("n_aliases")[0].alias("n_alias"), six("alias_score"))
 
 
 @register("pin_products", s.q("menu cat", "SELECT item_id, CASE WHEN id IS NOT NULL THEN id END AS wine_id FROM (SELECT item_id, CASE WHEN l_suppkey % 5 = 0 THEN 'p' || (l_partkey * 3) END AS pinned FROM menu) LEFT JOIN cat ON id = pinned"))
@@ -207,14 +227,14 @@ scoring_views("s", "scands")
 V["found_"] = (["s_scored", "idx"], """SELECT query, idx.id, idx.name, idx.producer, idx.country, score, catalog_ordinal, wine_type FROM s_scored JOIN idx USING (n_name, n_producer, n_alias, gate_text, n_region, n_varietal, wine_type)""")
 
 
-@register("search_cross_score", s.q("found_", "SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, catalog_ordinal) AS rank FROM found_ QUALIFY rank <= 10"))
+@register("search_cross_score", s.q("found_", f"SELECT query, id, {_r('score')}, row_number() OVER (PARTITION BY query ORDER BY found_.score DESC, catalog_ordinal) AS rank FROM found_ QUALIFY rank <= 10"))
 def _(spark, sf):
-    return mt.search(index(spark, sf), QUERIES, 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    return mt.search(index(spark, sf), QUERIES, 10).select("query", "id", six("score"), "rank")
 
 
-@register("filter_attr_equal", s.q("found_", "SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, catalog_ordinal) AS rank FROM found_ WHERE wine_type = 'red' AND country = 'NATION_3' QUALIFY rank <= 10"))
+@register("filter_attr_equal", s.q("found_", f"SELECT query, id, {_r('score')}, row_number() OVER (PARTITION BY query ORDER BY found_.score DESC, catalog_ordinal) AS rank FROM found_ WHERE wine_type = 'red' AND country = 'NATION_3' QUALIFY rank <= 10"))
 def _(spark, sf):
-    return mt.search(index(spark, sf), QUERIES, 10, wine_type="red", country="nation 3").select("query", "id", F.round("score", 6).alias("score"), "rank")
+    return mt.search(index(spark, sf), QUERIES, 10, wine_type="red", country="nation 3").select("query", "id", six("score"), "rank")
 
 
 _PLAIN = lambda c: f"lower(strip_accents({c}))"

@@ -430,3 +430,8 @@ def q(views: str, body: str) -> str:
     for name in views.split():
         add(name)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + body
+
+
+def millionths(expr: str) -> str:
+    """A number of zero or more in six decimals: whole billionths first, so that halves fall alike in both engines."""
+    return f"CAST((CAST(round(CAST({expr} AS DOUBLE) * 1000000000) AS BIGINT) + 500) // 1000 AS DOUBLE) / 1000000"

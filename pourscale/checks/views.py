@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pourscale.functions.pricing import price_tier
 from pourscale.operators.menu import number_lines
+from pourscale.session import spread
 
 AS_OF = "2024-02-01 00:00:00"
 STYLES = ["red", "white", "sparkling", "rose", "dessert"]
@@ -15,8 +16,13 @@ EXTRAS = [" Pinot N.", " Cab Sauv", " Chard", " Sparkling Brut"]
 TRUSTED = "src0"
 
 
+#: Tables whose rows take much work each.
+LARGE = ("lineitem", "documents", "pages", "events")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in LARGE else rows
 
 
 def pick(options: list[str], i):

@@ -8,11 +8,15 @@ share to pass the producer gate and the token test.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pourscale import fixed_values as fv
 from pourscale.functions import similarity as sim
 from pourscale.functions.pricing import confidence_level, is_strong
+from pourscale.operators.skew import salted_join
+from pourscale.session import staged
 from pourscale.functions.text import (
     normalize_producer, normalize_text, producer_key, significant_tokens, strip_accents,
 )
@@ -91,16 +95,16 @@ KEY = ["q", "q_gate", "q_region", "q_varietal", "q_type", "q_year", "q_gated"]
 
 
 # ------------------------------------------------------------------ blocking
-def block_on_tokens(queries: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pairs that share at least one significant token, each pair once.
+def block_on_tokens(queries: DataFrame, profiles: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Pairs that share at least one significant token (and the columns ``on``), each pair once.
 
-    A pair meets under every shared token; it is kept only under the smallest,
-    so no distinct over pairs is needed.
+    A pair meets under every shared token; it is kept only under the smallest, so no distinct over pairs
+    is needed. The rows of a frequent token are dealt out to many tasks.
     """
     left = queries.withColumn("_token", F.explode("q_tokens"))
     right = profiles.withColumn("_token", F.explode("tokens"))
     first = F.array_min(F.array_intersect("q_tokens", "tokens"))
-    return left.join(right, "_token").where(F.col("_token") == first).drop("_token")
+    return salted_join(left, right, ["_token", *(on or [])], "q").where(F.col("_token") == first).drop("_token")
 
 
 def _common_last(words: Column) -> Column:
@@ -146,7 +150,7 @@ def gate_keys(df: DataFrame, words: str, side: str) -> DataFrame:
       other.
     * the rests differ by d <= 0.07 T edits.  Each edit touches at most three
       trigrams, so the 3d + 1 leading trigrams (any fixed order) of both meet,
-      and the lengths differ by at most d.
+      and the lengths differ by at most d: tested on the pairs that meet.
     """
     w = F.col(words)
     text = F.array_join(w, " ")
@@ -160,21 +164,16 @@ def gate_keys(df: DataFrame, words: str, side: str) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     mine, other = ("Q:", "E:") if side == "q" else ("E:", "Q:")
-    with_size = lambda n: F.transform("_grams", lambda g: F.concat(F.lit("G:"), n.cast("string"), F.lit(":"), g))
-    if side == "q":
-        sizes = F.sequence(F.greatest(F.lit(1), size - edits), size + edits)
-        spread = F.when(F.size("_grams") > 0, F.flatten(F.transform(sizes, with_size))).otherwise(none)
-    else:
-        spread = with_size(size)
     keys = F.concat(
         F.transform(lead, lambda x: F.concat(F.lit(mine), x)),
         F.transform(w, lambda x: F.concat(F.lit(other), x)),
-        spread,
+        F.transform("_grams", lambda g: F.concat(F.lit("G:"), g)),
     )
     staged = (
         df.where(F.size(w) > 0)
         .withColumn("_all_grams", F.when(edits >= 1, _grams(w)).otherwise(none))
         .withColumn("_grams", F.slice(ordered, F.lit(1), edits * 3 + 1))
+        .withColumns({f"_size_{side}": size, f"_edits_{side}": edits})
     )
     return staged.withColumn("_key", F.explode(keys)).drop("_all_grams", "_grams")
 
@@ -183,14 +182,10 @@ def gate_candidates(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFra
     """(q_gate, gate_text) pairs that may pass the producer gate, with their bound."""
     q = gate_keys(query_texts.withColumn("_qw", sim.word_set(F.col("q_gate"))), "_qw", "q")
     e = gate_keys(catalog_texts.withColumn("_ew", sim.word_set(F.col("gate_text"))), "_ew", "e")
+    near = ~F.startswith("_key", F.lit("G:")) | (F.abs(F.col("_size_q") - F.col("_size_e")) <= F.col("_edits_q"))
+    met = q.join(e, "_key").where(near).select("q_gate", "gate_text", "_qw", "_ew").distinct()
     bound = sim.token_set_bound(F.col("_qw"), F.col("_ew"))
-    return (
-        q.join(e, "_key")
-        .withColumn("_bound", bound)
-        .where(F.col("_bound") >= GATE)
-        .select("q_gate", "gate_text", "_bound")
-        .distinct()
-    )
+    return met.withColumn("_bound", bound).where(F.col("_bound") >= GATE).select("q_gate", "gate_text", "_bound")
 
 
 def producer_gate(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFrame:
@@ -206,21 +201,35 @@ def producer_gate(query_texts: DataFrame, catalog_texts: DataFrame) -> DataFrame
     return sure.unionByName(open_).select("q_gate", "gate_text")
 
 
-def candidate_pairs(queries: DataFrame, profiles: DataFrame, gate: str = "strict") -> DataFrame:
-    """Query and catalog text pairs worth scoring."""
-    cols = KEY + ["q_tokens", "profile_id", "first_ordinal"] + PROFILE
+#: What the text scores depend on, on either side.
+Q_TEXT = ["q", "q_gate", "q_gated"]
+P_TEXT = ["n_name", "n_producer", "n_aliases", "gate_text"]
+
+
+def text_pairs(queries: DataFrame, profiles: DataFrame, gate: str = "strict") -> DataFrame:
+    """Pairs of distinct query and product texts worth scoring (``Q_TEXT`` and ``P_TEXT``).
+
+    queries and profiles are read several times and should be cheap to read (``staged``).
+    """
+    queries, profiles = queries.select(*Q_TEXT, "q_tokens").distinct(), profiles.select(*P_TEXT, "tokens").distinct()
     if gate != "strict":
-        return open_candidates(queries, profiles).select(*cols)
-    # pairs meet under (producer text, shared token); a text without tokens meets under an empty one
-    first = F.array_min(F.array_intersect("q_tokens", "tokens"))
-    tokens = F.when(F.size("q_tokens") > 0, F.col("q_tokens")).otherwise(F.array(F.lit("")))
-    left = queries.where("q_gated").join(producer_gate(queries.where("q_gated"), profiles), "q_gate")
-    left = left.withColumn("_token", F.explode(tokens))
-    right = profiles.withColumn("_token", F.explode(F.concat("tokens", F.array(F.lit("")))))
-    gated = left.join(right, ["gate_text", "_token"]).where((F.col("_token") == "") | (F.col("_token") == first))
+        return open_candidates(queries, profiles).select(*Q_TEXT, *P_TEXT)
+    # pairs share the producer text and a token; a text without tokens needs the producer text alone
+    gated = queries.where("q_gated").join(producer_gate(queries.where("q_gated"), profiles), "q_gate")
+    some = block_on_tokens(gated.where(F.size("q_tokens") > 0), profiles, ["gate_text"])
+    bare = gated.where(F.size("q_tokens") == 0).join(profiles, "gate_text")
     # a text without producer has no gate to pass
     free = open_candidates(queries.where(~F.col("q_gated")), profiles)
-    return gated.select(*cols).unionByName(free.select(*cols))
+    return reduce(DataFrame.unionByName, (x.select(*Q_TEXT, *P_TEXT) for x in (some, bare, free)))
+
+
+def candidate_pairs(pairs: DataFrame, queries: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Rows of queries and profiles whose texts are a pair, with the pair's further columns."""
+    key = lambda df, columns, name: df.withColumn(name, text_key(columns))
+    more = [c for c in pairs.columns if c not in Q_TEXT + P_TEXT]
+    out = key(key(pairs, Q_TEXT, "_qt"), P_TEXT, "_pt").select("_qt", "_pt", *more)
+    out = out.join(key(queries, Q_TEXT, "_qt").select("_qt", *KEY, "q_tokens"), "_qt")
+    return out.join(key(profiles, P_TEXT, "_pt").select("_pt", "profile_id", "first_ordinal", *PROFILE), "_pt").drop("_qt", "_pt")
 
 
 def open_candidates(queries: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -232,20 +241,15 @@ def open_candidates(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     key = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
     words = lambda c: F.transform(F.split(c, " "), lambda w: key("W:", w))
     texts = F.concat(F.array("n_name", "n_producer"), F.col("n_aliases"))
-    right_keys = F.concat(
-        F.transform("tokens", lambda t: key("T:", t)), words(F.array_join(texts, " ")),
-        F.transform(texts, lambda t: key("L:", F.length(t))),
-    )
+    right_keys = F.concat(words(F.array_join(texts, " ")), F.transform(texts, lambda t: key("L:", F.length(t))))
     n = F.greatest(F.length("q"), F.lit(1))
     spread = F.transform(F.sequence(F.ceil(n / 5).cast("int"), (n * 5).cast("int")), lambda i: key("L:", i))
-    left_keys = F.when(
-        F.size("q_tokens") > 0, F.transform("q_tokens", lambda t: key("T:", t))
-    ).when(F.col("q") != "", F.concat(words(F.col("q")), spread))
-    left = queries.withColumn("_key", F.explode(F.array_distinct(left_keys)))
+    left_keys = F.when(F.col("q") != "", F.concat(words(F.col("q")), spread))
+    some = block_on_tokens(queries.where(F.size("q_tokens") > 0), profiles)
+    left = queries.where(F.size("q_tokens") == 0).withColumn("_key", F.explode(F.array_distinct(left_keys)))
     right = profiles.withColumn("_key", F.explode(F.array_distinct(right_keys)))
-    first = key("T:", F.array_min(F.array_intersect("q_tokens", "tokens")))
-    pairs = left.join(right, "_key").where((F.size("q_tokens") == 0) | (F.col("_key") == first))
-    return pairs.dropDuplicates(KEY + ["profile_id"]).drop("_key")
+    bare = left.join(right, "_key").select(*Q_TEXT, *P_TEXT).distinct()
+    return some.select(*Q_TEXT, *P_TEXT).unionByName(bare)
 
 
 # ------------------------------------------------------------------ scoring
@@ -284,25 +288,123 @@ def structural_bonus(region_score: Column) -> dict[str, Column]:
     }
 
 
-def match_scores(pairs: DataFrame) -> DataFrame:
-    """Score and its parts for candidate pairs (columns of ``candidate_pairs``)."""
-    parts = sim.match_parts("q", "n_name", "n_producer", "n_aliases", "q_region", "n_region")
-    s = F.col("_s")
-    # scoring is heavy for its bytes: a fixed number of partitions keeps adaptive coalescing
-    # from folding it into few tasks, and equal texts lie together so a batch scores them once
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.repartition(n, "q", "n_name").sortWithinPartitions("q", "n_name")
-    out = spread.withColumn("_s", parts).withColumns(
-        {
-            "name_score": name_score(s["name"]),
-            "producer_score": producer_score(s["producer"]),
-            "alias_score": F.coalesce(F.array_max(F.transform(s["aliases"], alias_score)), F.lit(0.0)),
-            "region_score": s["region"],
-        }
+_BAG_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: How many of a letter a bag counts, and letters in a word of it.
+_BAG_DEPTH, _BAG_WIDTH = 7, 9
+
+
+def letter_bag(text: Column) -> Column:
+    """How often each letter occurs, as bits: a letter that occurs n times has its first n of seven bits set.
+
+    The common bits of two bags, and what the bags leave out, bound the letters that two texts can have in common.
+    """
+    letters, filled = F.array(*(F.lit(x) for x in _BAG_LETTERS)), F.array(*(F.lit((1 << n) - 1).cast("bigint") for n in range(_BAG_DEPTH + 1)))
+    counts = F.transform(letters, lambda x: F.least(F.length(text) - F.length(F.replace(text, x, F.lit(""))), F.lit(_BAG_DEPTH)))
+    zero = F.lit(0).cast("bigint")
+    word = lambda at: F.aggregate(F.slice(counts, at + 1, _BAG_WIDTH), zero, lambda w, n: F.shiftleft(w, _BAG_DEPTH).bitwiseOR(F.element_at(filled, n + 1)))
+    words = [word(at) for at in range(0, len(_BAG_LETTERS), _BAG_WIDTH)]
+    kept = F.aggregate(counts, F.lit(0), lambda x, n: x + n)
+    return F.struct(*(w.alias(f"w{i}") for i, w in enumerate(words)), (F.length(text) - kept).alias("rest"), F.length(text).alias("size"))
+
+
+def common_letters(a: Column, b: Column) -> Column:
+    """At least as many letters as two texts have in common, from their bags."""
+    words = range(-(-len(_BAG_LETTERS) // _BAG_WIDTH))
+    shared = reduce(lambda x, y: x + y, (F.bit_count(a[f"w{i}"].bitwiseAND(b[f"w{i}"])) for i in words))
+    return F.least(shared + F.least(a["rest"], b["rest"]), a["size"], b["size"])
+
+
+def score_bounds(a: Column, b: Column, wa: Column, wb: Column) -> Column:
+    """Upper bounds of the four similarities of two texts, from their bags and word sets."""
+    common, total = common_letters(a, b), F.greatest(a["size"] + b["size"], F.lit(1))
+    empty = a["size"] + b["size"] == 0
+    ratio = F.when(empty, 1.0).otherwise(F.least(F.lit(1.0), F.lit(2.0) * common / total))
+    jaro = F.when(empty, 1.0).otherwise((common / F.greatest(a["size"], F.lit(1)) + common / F.greatest(b["size"], F.lit(1)) + 1) / 3)
+    sets = F.least(F.lit(1.0), sim.token_set_bound(wa, wb, common))
+    return F.struct(ratio.alias("ratio"), ratio.alias("sort"), sets.alias("set"), F.least(F.lit(1.0), jaro + 0.4 * (1 - jaro)).alias("jaro"))
+
+
+MOST_BONUS = sum(fv.BONUSES[x] for x in ("vintage", "region", "varietal", "type"))
+
+
+def shape(text: Column) -> Column:
+    """What the bounds need of a text: its bag and its words."""
+    return F.struct(letter_bag(text).alias("bag"), sim.word_set(text).alias("words"))
+
+
+def most_text(q: Column, name: Column, producer: Column, aliases: Column) -> Column:
+    """Upper bound of the text score from the shapes of the texts."""
+    bounds = lambda texts: F.transform(texts, lambda t: score_bounds(q["bag"], t["bag"], q["words"], t["words"]))
+    most = lambda texts, score: F.coalesce(F.array_max(F.transform(bounds(texts), score)), F.lit(0.0))
+    return F.greatest(
+        most(F.array(name), name_score),
+        most(F.array(producer), producer_score) * fv.PRODUCER_WEIGHTS["share"],
+        most(aliases, alias_score) * fv.ALIAS_WEIGHTS["share"],
     )
-    out = out.withColumn("base_text", base_text_score()).withColumns(structural_bonus(F.col("region_score")))
+
+
+def shaped(texts: DataFrame) -> DataFrame:
+    """Product texts with the shapes of their parts."""
+    return texts.withColumns({"_sn": shape(F.col("n_name")), "_sp": shape(F.col("n_producer")), "_sa": F.transform("n_aliases", shape)})
+
+
+def possible_pairs(pairs: DataFrame, minimum: float = fv.MATCH_MINIMUM) -> DataFrame:
+    """Text pairs whose bounds let them reach ``minimum`` with every bonus; decided without any Python.
+
+    Shapes are made once for each distinct text of either side.
+    """
+    of_q = pairs.select("q").distinct().withColumn("_sq", shape(F.col("q")))
+    of_p = shaped(pairs.select("n_name", "n_producer", "n_aliases").distinct())
+    both = pairs.join(of_q, "q").join(of_p, ["n_name", "n_producer", "n_aliases"])
+    most = most_text(*(F.col(c) for c in ("_sq", "_sn", "_sp", "_sa")))
+    return both.where(most + MOST_BONUS >= minimum - 1e-6).select(pairs.columns)
+
+
+def text_scores(pairs: DataFrame) -> DataFrame:
+    """pairs with the scores of their texts: every pair of a query and a name, producer or alias is scored once."""
+    texts = ["q", "n_name", "n_producer", "n_aliases"]
+    keyed = pairs.withColumn("_tk", text_key(texts))
+    part = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    parts = F.concat(F.array(part("n", F.col("n_name")), part("p", F.col("n_producer"))), F.transform("n_aliases", lambda x: part("a", x)))
+    each = keyed.select("_tk", *texts).distinct().select("_tk", "q", F.inline(parts))
+    # scoring is heavy for its bytes: a fixed number of partitions keeps adaptive coalescing from folding it into few tasks
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = sim.pair_scores(each.select("q", "text").distinct().repartition(n, "q", "text"), "q", "text", "_s")
+    s, kind = F.col("_s"), F.col("kind")
+    best = lambda k, score: F.max(F.when(kind == k, score(s)))
+    scores = each.join(scored, ["q", "text"]).groupBy("_tk").agg(
+        best("n", name_score).alias("name_score"), best("p", producer_score).alias("producer_score"),
+        F.coalesce(best("a", alias_score), F.lit(0.0)).alias("alias_score"),
+    )
+    return keyed.join(scores, "_tk").drop("_tk").withColumn("base_text", base_text_score())
+
+
+def with_bonuses(pairs: DataFrame) -> DataFrame:
+    """Scored candidate rows with their bonuses and score; each pair of regions is compared once."""
+    regions = pairs.where("q_region is not null and n_region <> ''").select("q_region", "n_region").distinct()
+    a, b = F.col("q_region"), F.col("n_region")
+    regions = regions.withColumn("region_score", F.when(a == b, F.when(a != "", 1.0).otherwise(0.0)).otherwise(sim.token_set_similarity(a, b)))
+    out = pairs.join(regions, ["q_region", "n_region"], "left")
+    out = out.withColumns(structural_bonus(F.col("region_score")))
     bonus = F.col("vintage_bonus") + F.col("region_bonus") + F.col("varietal_bonus") + F.col("type_bonus")
-    return out.withColumn("score", F.round(F.least(F.lit(1.0), F.col("base_text") + bonus), 9)).drop("_s")
+    return out.withColumn("score", F.round(F.least(F.lit(1.0), F.col("base_text") + bonus), 9))
+
+
+def match_scores(queries: DataFrame, profiles: DataFrame, gate: str = "strict") -> DataFrame:
+    """All candidate rows with their scores, bonuses and parts."""
+    queries, profiles = staged(queries, "match-queries"), staged(profiles, "match-profiles")
+    texts = staged(text_pairs(queries, profiles, gate), "match-pairs")
+    return with_bonuses(candidate_pairs(text_scores(texts), queries, profiles))
+
+
+def alias_scores(pairs: DataFrame) -> DataFrame:
+    """Best alias score of each pair of texts (``text_pairs``): only the word scores of distinct (query, alias) pairs."""
+    each = pairs.select("q", "n_aliases").distinct().select("q", "n_aliases", F.explode("n_aliases").alias("alias"))
+    two = each.select("q", "alias").distinct()
+    q, alias = F.col("q"), F.col("alias")
+    s = {"sort": sim.token_sort_similarity(q, alias), "set": sim.token_set_similarity(q, alias)}
+    two = two.withColumn("alias_score", alias_score(s))
+    return each.join(two, ["q", "alias"]).groupBy("q", "n_aliases").agg(F.max("alias_score").alias("alias_score"))
 
 
 def fuzzy_match(
@@ -321,7 +423,10 @@ def fuzzy_match(
 def match_texts(queries: DataFrame, index: DataFrame, top_k: int = 5, gate: str = "strict") -> DataFrame:
     """One row per distinct query text with its ranked products as an array."""
     profiles, members = catalog_profiles(index, top_k)
-    scored = match_scores(candidate_pairs(queries, profiles, gate)).where(F.col("score") >= fv.MATCH_MINIMUM)
+    queries, profiles = staged(queries, "match-queries"), staged(profiles, "match-profiles")
+    pairs = staged(text_pairs(queries, profiles, gate), "match-pairs")
+    texts = staged(text_scores(possible_pairs(pairs)), "match-texts")
+    scored = with_bonuses(candidate_pairs(leading_pairs(texts, top_k), queries, profiles)).where(F.col("score") >= fv.MATCH_MINIMUM)
     keyed = scored.withColumn("_mk", text_key(KEY))
     # cut to the best texts first: each better text holds at least one better product
     best = Window.partitionBy("_mk").orderBy(F.desc("score"), "first_ordinal")
@@ -341,6 +446,19 @@ def match_texts(queries: DataFrame, index: DataFrame, top_k: int = 5, gate: str
     return top.groupBy("_mk").agg(F.sort_array(F.collect_list(row)).alias("matches"))
 
 
+def leading_pairs(scored: DataFrame, top_k: int) -> DataFrame:
+    """Scored text pairs that may hold one of a query's ``top_k`` products.
+
+    Every text is some product's, so ``top_k`` products score at least as much as the query's top_k-th text;
+    what lies further below it than all bonuses together can't be among them.
+    """
+    w = Window.partitionBy(*Q_TEXT).orderBy(F.desc("base_text"))
+    first = scored.select(*Q_TEXT, "base_text", F.row_number().over(w).alias("_n")).where(F.col("_n") <= top_k)
+    floor = first.groupBy(*Q_TEXT).agg(F.max("_n").alias("_n"), F.min("base_text").alias("_floor"))
+    floor = floor.withColumn("_floor", F.greatest(F.lit(fv.MATCH_MINIMUM), F.when(F.col("_n") == top_k, F.col("_floor")).otherwise(0.0)) - MOST_BONUS - 1e-6)
+    return scored.join(floor.drop("_n"), Q_TEXT).where(F.col("base_text") >= F.col("_floor")).drop("_floor")
+
+
 def best_and_alternatives(matches: DataFrame, item: str) -> DataFrame:
     """First match per item with the others as an array (at most top_k - 1 entries)."""
     alt = F.when(F.col("rank") > 1, F.struct("rank", "wine_id", F.round("score", 4).alias("confidence")))
@@ -358,40 +476,62 @@ def strong_matches(matches: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ search
-def search_scores(index: DataFrame, queries: list[str], wine_type: str | None = None, country: str | None = None) -> DataFrame:
-    """Score every (filtered) product for a list of caller-given texts.
-
-    The texts travel with the plan as literals, so the catalog is scanned once
-    and no table is joined.  Filters run before scoring.  A table of texts is
-    better matched with ``fuzzy_match``.
-    """
+def search_profiles(queries: DataFrame) -> DataFrame:
+    """Search texts (column query) with their comparison columns."""
     from pourscale.functions.items import parse_items
 
-    if wine_type:
-        index = index.where(F.col("wine_type") == wine_type)
-    if country:
-        index = index.where(normalize_text(F.col("country")) == normalize_text(F.lit(country)))
-    texts = F.array(*[F.lit(q) for q in queries])
-    rows = index.withColumn("query", F.explode(texts))
-    parsed = parse_items(rows, "query")
-    pairs = parsed.withColumns(
-        {
-            "q": F.col("normalized_search"),
-            "q_region": F.col("parsed_region"),
-            "q_varietal": F.col("parsed_varietal"),
-            "q_type": F.col("parsed_type"),
-            "q_year": F.coalesce(F.col("parsed_vintage").between(1950, 2030), F.lit(False)),
-        }
-    )
-    return match_scores(pairs)
+    return parse_items(queries, "query").select(
+        "query", F.col("normalized_search").alias("q"), F.lit("").alias("q_gate"), F.col("parsed_region").alias("q_region"),
+        F.col("parsed_varietal").alias("q_varietal"), F.col("parsed_type").alias("q_type"),
+        F.coalesce(F.col("parsed_vintage").between(1950, 2030), F.lit(False)).alias("q_year"), F.lit(False).alias("q_gated"),
+        significant_tokens(F.col("normalized_search")).alias("q_tokens"),
+    )
 
 
 def search(
-    index: DataFrame, queries: list[str], limit: int = 10, wine_type: str | None = None, country: str | None = None
+    index: DataFrame, queries: DataFrame | list[str], limit: int = 10, wine_type: str | None = None, country: str | None = None
 ) -> DataFrame:
-    scored = search_scores(index, queries, wine_type, country)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "catalog_ordinal")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    """The ``limit`` best products of every search text (column query), however low they score.
+
+    Filters run before scoring. Products that share a token with a text are scored first; the limit-th best of them
+    is a floor. Of all others only those whose bounds reach the floor are scored at all.
+    """
+    if wine_type:
+        index = index.where(F.col("wine_type") == wine_type)
+    if country:
+        index = index.where(normalize_text(F.col("country")) == normalize_text(F.lit(country)))
+    if not isinstance(queries, DataFrame):
+        queries = index.sparkSession.createDataFrame([(x,) for x in queries], "query string")
+    asked = search_profiles(queries.select("query").distinct())
+    profiles, members = catalog_profiles(index, limit)
+    asked, profiles = staged(asked, "search-texts"), staged(profiles, "search-profiles")
+    texts, of_q = profiles.select(*P_TEXT, "tokens").distinct(), asked.select(*Q_TEXT, "q_tokens").distinct()
+    near = staged(text_scores(block_on_tokens(of_q, texts).select(*Q_TEXT, *P_TEXT)), "search-near")
+    w = Window.partitionBy(*Q_TEXT).orderBy(F.desc("base_text"))
+    floor = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == limit).select(*Q_TEXT, F.col("base_text").alias("_floor"))
+    far = open_texts(of_q.join(floor, Q_TEXT, "left"), texts)
+    scored = near.unionByName(text_scores(staged(far, "search-far")))
+    rows = with_bonuses(candidate_pairs(scored, asked.drop("query").distinct(), profiles))
+    found = rows.withColumn("_mk", text_key(KEY)).withColumn("_n", F.row_number().over(Window.partitionBy("_mk").orderBy(F.desc("score"), "first_ordinal"))).where(F.col("_n") <= limit)
+    found = found.drop(*KEY, "q_tokens", "_n").join(members, "profile_id").withColumn("rank", F.row_number().over(Window.partitionBy("_mk").orderBy(F.desc("score"), "catalog_ordinal")))
+    found = found.where(F.col("rank") <= limit).select("_mk", "wine_id", "score", "rank")
+    found = asked.withColumn("_mk", text_key(KEY)).select("query", "_mk").join(found, "_mk").drop("_mk")
+    return index.join(found, F.col("id") == F.col("wine_id")).drop("wine_id")
+
+
+def open_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs without a shared token whose bounds reach the text's ``_floor`` (null: none) less all bonuses.
+
+    Search texts are what callers ask for at a time, not a table that grows with the catalog: they meet all
+    product texts in blocks of at most a thousand texts, and only numbers are compared.
+    """
+    asked, texts = asked.withColumn("_sq", shape(F.col("q"))), shaped(texts)
+    n = asked.count()
+    block, blocks = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // 500)))), max(1, -(-n // 500))
+    both = [texts.join(F.broadcast(asked.where(block == at)), ~F.arrays_overlap("q_tokens", "tokens")) for at in range(blocks)]
+    both = reduce(DataFrame.unionByName, both)
+    most = most_text(*(F.col(c) for c in ("_sq", "_sn", "_sp", "_sa")))
+    return both.where(F.col("_floor").isNull() | (most + MOST_BONUS >= F.col("_floor") - 1e-6)).select(*Q_TEXT, *P_TEXT)
 
 
 def autocomplete_boost(query: Column, name: Column, producer: Column, is_static: Column) -> Column:

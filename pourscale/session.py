@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,6 +30,16 @@ def build_session(master: str | None = None, app: str = "pourscale", partitions:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where their files give fewer tasks than there are cores.
+
+    Parquet is split by row groups: a file of one group is one task, however much work its rows take. A large
+    input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables and stream state.
 
@@ -44,3 +54,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder: what several later steps read is computed once, and their plans
+    start from a scan instead of repeating all steps before it."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

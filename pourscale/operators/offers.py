@@ -198,18 +198,6 @@ def latest_price(observed: Column, base: Column) -> Column:
     return F.coalesce(F.when(observed > 0, observed), F.when(base > 0, base))
 
 
-def upsert_prices(current: DataFrame, updates: DataFrame, keys=("wine_id",), at: str = "fetched_at", tie: str = "price") -> DataFrame:
-    """Last write per key wins; combined on the map side.
-
-    Equal times are settled by the ``tie`` column, so a rerun gives the same row.
-    """
-    stacked = current.unionByName(updates, allowMissingColumns=True)
-    rest = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(at, tie)).alias("_row")
-    ).select(*keys, "_row.*")
-
-
 def priority_pick(prices: DataFrame) -> DataFrame:
     """One price per (item, product): that of the year before the one without year."""
     w = Window.partitionBy("item_id").orderBy(F.col("vintage").asc_nulls_last())

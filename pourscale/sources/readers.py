@@ -8,6 +8,7 @@ from pourscale import fixed_values as fv
 from pourscale.functions import pricing as px
 from pourscale.functions import text as tx
 from pourscale.operators.catalog import derive_tier
+from pourscale.sources.keyed_table import largest, update_table
 
 CATALOG_SCHEMA = (
     "id string, name string, producer string, region string, country string, appellation string, varietal string, "
@@ -213,9 +214,9 @@ def append_log(rows: DataFrame, path: str, batch: int) -> None:
     rows.withColumn("day", F.to_date("analyzed_at")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 
-def write_price_table(prices: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write upserted prices to a new path, spread by product so later joins read evenly.
+def write_price_table(prices: DataFrame, folder: str, batch: int) -> None:
+    """Upserts prices (wine_id, price, fetched_at) into the price table: the latest of a product counts, of equal times the higher price.
 
-    The caller swaps paths after success; readers never see a half-written table.
+    Readers of ``keyed_table.read_table`` see the table before the batch or after it; a repeated batch counts once.
     """
-    prices.repartition(buckets, "wine_id").write.mode("errorifexists").parquet(path)
+    update_table(prices, folder, batch, ["wine_id"], largest(["wine_id"], ["fetched_at", "price"]))

@@ -1,7 +1,8 @@
 """Incremental versions of the log, price, catalog and analysis tables.
 
-Each stream writes one directory per micro-batch, overwritten when a batch is
-replayed, so a lost executor or a restart repeats a batch without doubling it.
+Streams of rows write one directory per micro-batch, overwritten when a batch is
+replayed; keyed tables write versions of the buckets a batch touches. Either way a lost
+executor or a restart repeats a batch without doubling it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pourscale.functions import pricing as px
 from pourscale.operators.catalog import insert_if_absent, ttl_expiry
 from pourscale.operators.report import job_progress
 from pourscale.session import work_folder
+from pourscale.sources.keyed_table import Merge, largest, read_table, summed, update_table
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -39,46 +41,30 @@ def write_batches(
     return spark.read.parquet(out)
 
 
-def upsert_batches(stream: DataFrame, folder: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Run a stream into a keyed table: the largest row per key by ``order``.
+def merge_batches(stream: DataFrame, folder: str, keys: list[str], merge: Merge) -> DataFrame:
+    """Run a stream into a keyed table and return its newest version.
 
-    Without ``order`` the stream updates its own rows and the last update counts.
-    Every batch writes the table anew from the version before it and its own rows,
-    so reading never goes through the history and a repeated batch gives the same version.
+    A batch rewrites only the buckets its keys fall into (``keyed_table``); a restart goes on from the newest
+    version, and a run without new input returns it as it is.
     """
-    spark = stream.sparkSession
-    table = f"{folder}/table"
-    versions = []
-
-    def save(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
-        new = rows.withColumn("_v", F.lit(1))
-        if batch:
-            new = new.unionByName(session.read.parquet(f"{table}/version={batch - 1}").withColumn("_v", F.lit(0)))
-        rest = [c for c in rows.columns if c not in keys]
-        kept = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or ["_v"]))).alias("_s")).select(*keys, "_s.*")
-        kept.write.mode("overwrite").parquet(f"{table}/version={batch}")
-        versions.append(batch)
-
+    spark, table = stream.sparkSession, f"{folder}/table"
     query = (
-        stream.writeStream.outputMode("append" if order else "update").foreachBatch(save)
+        stream.writeStream.outputMode("append").foreachBatch(lambda rows, batch: update_table(rows, table, batch, keys, merge))
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not versions:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.parquet(f"{table}/version={versions[-1]}")
-
-
-def stream_log(log: DataFrame, folder: str, watermark: str = "1 day") -> DataFrame:
-    """Daily counts per kind of logged rows (columns seen_at, kind, price)."""
-    counts = (
-        log.withWatermark("seen_at", watermark)
-        .groupBy(F.window("seen_at", "1 day").alias("w"), "kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price").cast("decimal(12,2)")).alias("total"))
-        .select(F.col("w.start").alias("day"), "kind", "n", "total")
-    )
-    return upsert_batches(counts, folder, ["day", "kind"])
+    found = read_table(spark, table)
+    return spark.createDataFrame([], stream.schema) if found is None else found
+
+
+def stream_log(log: DataFrame, folder: str) -> DataFrame:
+    """Daily counts per kind of logged rows (columns seen_at, kind, price).
+
+    The counts of every batch are added to the table, so rows count whenever they arrive, however late.
+    """
+    keys = ["day", "kind"]
+    rows = log.select(F.date_trunc("day", "seen_at").alias("day"), "kind", F.lit(1).cast("bigint").alias("n"), F.col("price").cast("decimal(22,2)").alias("total"))
+    return merge_batches(rows, folder, keys, summed(keys))
 
 
 def stream_inflight_dedupe(lookups: DataFrame, folder: str, watermark: str = "60 days") -> DataFrame:
@@ -90,26 +76,22 @@ def stream_inflight_dedupe(lookups: DataFrame, folder: str, watermark: str = "60
 def stream_price_upsert(prices: DataFrame, folder: str) -> DataFrame:
     """Latest price per product; ties in time go to the higher event id. The table is the only state."""
     rows = prices.select("wine_id", "price", "seen_at", "event_id")
-    return upsert_batches(rows, folder, ["wine_id"], ["seen_at", "event_id"]).drop("event_id")
+    return merge_batches(rows, folder, ["wine_id"], largest(["wine_id"], ["seen_at", "event_id"])).drop("event_id")
 
 
 def stream_discover(found: DataFrame, catalog: DataFrame, folder: str) -> DataFrame:
-    """Catalog plus the products that arrive; an id already known adds nothing.
+    """Products that arrive and are not in the catalog; an id already known adds nothing.
 
-    Every batch reads the rows earlier batches added, so a product found once
-    is known to the next batch.
+    A batch reads only the buckets of earlier finds that its own ids fall into.
     """
     ids = catalog.select("id")
 
-    def step(rows: DataFrame, batch: int) -> DataFrame:
-        known = ids
-        if batch:
-            # one scan of what earlier batches added; a replay leaves its own rows out
-            added = rows.sparkSession.read.schema("id string, batch int").parquet(f"{folder}/rows").where(F.col("batch") < batch)
-            known = ids.unionByName(added.select("id"))
-        return insert_if_absent(known, rows).where("name is not null")
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        known = ids if old is None else ids.unionByName(old.select("id"))
+        added = insert_if_absent(known, new).where("name is not null").select(new.columns)
+        return added if old is None else old.unionByName(added)
 
-    return write_batches(found, folder, step=step).drop("batch")
+    return merge_batches(found, folder, ["id"], merge)
 
 
 def stream_job_progress(done: DataFrame, items: DataFrame, folder: str, watermark: str = "60 days") -> DataFrame:

@@ -75,12 +75,12 @@ def _(spark, sf):
 
 
 _YEARS = "(VALUES (NULL), " + ", ".join(f"({y})" for y in YEARS if y) + ") y(vintage)"
-V["yp"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 2 = 0')} AS wine_id, CASE WHEN vintage IS NULL THEN NULL ELSE vintage + 15 END AS vintage, max(price) AS price, CASE WHEN max(l_linenumber) = 7 THEN NULL ELSE TIMESTAMP '2024-01-31' - to_days(CAST(max(l_partkey) % 60 AS INTEGER)) END AS fetched_at FROM offers GROUP BY ALL")
+V["yp"] = (["offers"], f"SELECT {s.other_key('l_partkey % 20 <> 0')} AS wine_id, CASE WHEN vintage IS NULL THEN NULL ELSE vintage + 15 END AS vintage, max(price) AS price, CASE WHEN max(l_linenumber) = 7 THEN NULL ELSE TIMESTAMP '2024-01-31' - to_days(CAST(max(l_partkey) % 60 AS INTEGER)) END AS fetched_at FROM offers GROUP BY ALL")
 
 
 def shifted_prices(spark, sf):
     day = F.lit("2024-01-31").cast("timestamp") - F.make_dt_interval(days=(F.max("l_partkey") % 60).cast("int"))
-    return v.offers(spark, sf).groupBy(v.other_key("l_suppkey % 2 = 0"), (F.col("vintage") + 15).alias("vintage")).agg(
+    return v.offers(spark, sf).groupBy(v.other_key("l_partkey % 20 <> 0"), (F.col("vintage") + 15).alias("vintage")).agg(
         F.max("price").alias("price"), F.when(F.max("l_linenumber") != 7, day).alias("fetched_at")
     )
 
@@ -116,19 +116,19 @@ def _(spark, sf):
     return c.ttl_expiry(rows, as_of()).select("wine_id", "vintage", "price_tier", "expires_at", "valid")
 
 
-V["idmap"] = (["cat"], "SELECT CASE WHEN catalog_ordinal % 3 <> 1 THEN id ELSE 'z' || id END AS wine_id, catalog_ordinal * 7 + 1000 AS external_id FROM cat")
-V["seen_price"] = (["offers"], f"SELECT {s.other_key('l_linenumber = 1')} AS wine_id, max(price) AS price FROM offers GROUP BY 1")
+V["idmap"] = (["cat"], "SELECT CASE WHEN catalog_ordinal % 20 <> 1 THEN id ELSE 'z' || id END AS wine_id, catalog_ordinal * 7 + 1000 AS external_id FROM cat")
+V["seen_price"] = (["offers"], f"SELECT {s.other_key('l_partkey % 20 <> 0')} AS wine_id, max(price) AS price FROM offers GROUP BY 1")
 
 
 def id_map(spark, sf):
-    other = F.when(F.col("catalog_ordinal") % 3 != 1, F.col("id")).otherwise(F.concat(F.lit("z"), F.col("id")))
+    other = F.when(F.col("catalog_ordinal") % 20 != 1, F.col("id")).otherwise(F.concat(F.lit("z"), F.col("id")))
     return v.cat(spark, sf).select(other.alias("wine_id"), (F.col("catalog_ordinal") * 7 + 1000).alias("external_id"))
 
 
 @register("drop_bad_mappings", s.q("idmap seen_price cat", """SELECT m.wine_id, external_id, coalesce(bad, false) AS rejected FROM idmap m LEFT JOIN (
     SELECT wine_id, NOT CAST(price AS DOUBLE) / CAST(avg_retail_price AS DOUBLE) BETWEEN 0.1 AND 10.0 AS bad FROM seen_price JOIN cat ON id = wine_id) b ON b.wine_id = m.wine_id"""))
 def _(spark, sf):
-    seen = v.offers(spark, sf).groupBy(v.other_key("l_linenumber = 1")).agg(F.max("price").alias("price"))
+    seen = v.offers(spark, sf).groupBy(v.other_key("l_partkey % 20 <> 0")).agg(F.max("price").alias("price"))
     kept, bad = c.drop_bad_mappings(id_map(spark, sf), seen, v.cat(spark, sf))
     return kept.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)))
 
@@ -174,12 +174,10 @@ def _(spark, sf):
     return c.cap_per_group(v.cat(spark, sf), "region", ["catalog_ordinal"], 5).select("id", "region")
 
 
-@register("region_fill", s.q("cat", "SELECT region, n FROM (SELECT region, count(*) FILTER (wine_type = 'red') AS n FROM cat GROUP BY region) WHERE n < 16"))
+@register("region_fill", s.q("cat", "SELECT region, n FROM (SELECT region || ', ' || wine_type AS region, count(*) AS n FROM cat GROUP BY 1) WHERE n < 16"))
 def _(spark, sf):
-    cat = v.cat(spark, sf)
-    wanted = cat.select("region").distinct()
-    region = F.when(F.col("wine_type") == "red", F.col("region")).otherwise(F.concat("region", F.lit(" (others)")))
-    return c.region_fill(cat.withColumn("region", region), wanted, 16)
+    cat = v.cat(spark, sf).withColumn("region", F.concat_ws(", ", "region", "wine_type"))
+    return c.region_fill(cat, cat.select("region").distinct(), 16)
 
 
 @register("id_set_ops", s.q("yp cat", "(SELECT wine_id FROM yp WHERE vintage IS NULL UNION SELECT wine_id FROM yp WHERE vintage IS NOT NULL) INTERSECT SELECT id FROM cat"))

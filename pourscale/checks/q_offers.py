@@ -76,11 +76,11 @@ def _(spark, sf):
     {s.wholesale('avg_retail', '(' + s.tier('avg_retail') + ')')} AS estimated_wholesale, CASE WHEN num_listings >= 5 THEN 'high' ELSE 'medium' END AS data_confidence
   FROM (SELECT p_partkey AS lookup_id, coalesce({s.mean('tot', 'n')}, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS avg_retail,
       coalesce(lo, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS min_retail, coalesce(hi, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END) AS max_retail, CAST(coalesce(n, 1) AS INTEGER) AS num_listings
-    FROM part LEFT JOIN (SELECT l_partkey, sum(price) AS tot, min(price) AS lo, max(price) AS hi, count(price) AS n FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 7 = 3 THEN l_partkey ELSE -l_partkey END AS l_partkey) FROM offers) WHERE price <> 0 GROUP BY 1) ON l_partkey = p_partkey) WHERE avg_retail IS NOT NULL"""))
+    FROM part LEFT JOIN (SELECT l_partkey, sum(price) AS tot, min(price) AS lo, max(price) AS hi, count(price) AS n FROM (SELECT * REPLACE (CASE WHEN l_partkey % 20 <> 0 THEN l_partkey ELSE -l_partkey END AS l_partkey) FROM offers) WHERE price <> 0 GROUP BY 1) ON l_partkey = p_partkey) WHERE avg_retail IS NOT NULL"""))
 def _(spark, sf):
     p = v.table(spark, sf, "part")
     hits = p.select(F.col("p_partkey").alias("lookup_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("decimal(12,2)")).alias("quoted"))
-    off = v.offers(spark, sf).select(F.when(F.col("l_suppkey") % 7 == 3, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("lookup_id"), "price")
+    off = v.offers(spark, sf).select(F.when(F.col("l_partkey") % 20 != 0, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("lookup_id"), "price")
     return o.live_offer_stats(hits, off)
 
 
@@ -124,11 +124,11 @@ def _(spark, sf):
 
 
 V = s.VIEWS
-V["year_prices"] = (["offers"], f"SELECT {s.other_key('l_suppkey % 2 = 0')} AS wine_id, vintage, max(price) AS price, max(fetched_at) AS fetched_at FROM offers GROUP BY ALL")
+V["year_prices"] = (["offers"], f"SELECT {s.other_key('l_partkey % 20 <> 0')} AS wine_id, vintage, max(price) AS price, max(fetched_at) AS fetched_at FROM offers GROUP BY ALL")
 
 
 def year_prices(spark, sf):
-    return v.offers(spark, sf).groupBy(v.other_key("l_suppkey % 2 = 0"), "vintage").agg(
+    return v.offers(spark, sf).groupBy(v.other_key("l_partkey % 20 <> 0"), "vintage").agg(
         F.max("price").alias("price"), F.max("fetched_at").alias("fetched_at")
     )
 

@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pourscale import fixed_values as fv
 from pourscale.sources.lookups import region_rows
-from pourscale.functions.text import normalize_text
+from pourscale.functions.text import normalize_text, rewrite
 
 
 def strip_price_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, fv.PRICE_TEXT, " "))
 
 
+#: What every size in a text holds.
+_SIZED = r"(?i)\b(?:magnum|jeroboam|methuselah|imperial|half[\s-]bottle|\d+(?:\.\d+)?\s*(?:ml|cl|l|ltr|litre|liter))\b"
+
+
 def extract_format_ml(text: Column) -> Column:
-    """Bottle size in ml: named sizes in order, else number and unit."""
+    """Bottle size in ml: named sizes in order, else number and unit; most texts have none and need one test only."""
     amount = F.regexp_extract(text, fv.SIZE_TEXT, 1).try_cast("double")
     unit = F.lower(F.regexp_extract(text, fv.SIZE_TEXT, 2))
     scale = F.when(unit.isin("l", "ltr", "litre", "liter"), 1000).when(unit == "cl", 10).otherwise(1)
     out = F.floor(amount * scale).cast("int")
     for pattern, ml in reversed(fv.NAMED_SIZES):
         out = F.when(F.regexp_like(text, F.lit(pattern)), ml).otherwise(out)
-    return out
+    return F.when(F.regexp_like(text, F.lit(_SIZED)), out)
 
 
 def strip_format(text: Column) -> Column:
-    for pattern, _ in fv.NAMED_SIZES:
-        text = F.regexp_replace(text, pattern, " ")
-    return F.regexp_replace(text, fv.SIZE_TEXT, " ")
+    bare = rewrite(text, [(pattern, " ") for pattern, _ in fv.NAMED_SIZES] + [(fv.SIZE_TEXT, " ")])
+    return F.when(F.regexp_like(text, F.lit(_SIZED)), bare).otherwise(text)
 
 
 def extract_vintage(text: Column) -> Column:
@@ -51,14 +56,24 @@ def clean_separators(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, fv.SEPARATOR_RUN, " "))
 
 
+def first_words(patterns) -> list[str]:
+    """The whole words with which matches of rules on normalised text begin."""
+    found = [w for p in patterns for run in re.findall(r"\\b(?:\(\?:)?([a-z]+(?:\|[a-z]+)*)", p) for w in run.split("|")]
+    return sorted(set(found))
+
+
+def has_word(normalized: Column, words: list[str]) -> Column:
+    """Whether a normalised text holds one of the words: a lookup for each of its words, however many rules there are."""
+    return F.exists(F.split(normalized, " "), lambda w: w.isin(words))
+
+
 def extract_varietal(normalized: Column) -> Column:
-    """Grape of the first rule with a hit; one combined test skips texts without any."""
+    """Grape of the first rule with a hit; texts without a word that begins one are skipped."""
     rules = None
     for pattern, label in fv.GRAPE_RULES:
         hit = F.regexp_like(normalized, F.lit(pattern))
         rules = F.when(hit, label) if rules is None else rules.when(hit, label)
-    any_rule = "|".join(p for p, _ in fv.GRAPE_RULES)
-    return F.when(F.regexp_like(normalized, F.lit(any_rule)), rules)
+    return F.when(has_word(normalized, first_words(p for p, _ in fv.GRAPE_RULES)), rules)
 
 
 def extract_region(normalized: Column, keywords=None) -> Column:
@@ -80,7 +95,8 @@ def extract_type(normalized: Column) -> Column:
     for style, names in fv.STYLE_WORDS:
         hit = F.regexp_like(normalized, F.lit(r"\b(?:" + "|".join(names) + r")\b"))
         out = F.when(hit, style) if out is None else out.when(hit, style)
-    return out
+    words = [re.match("[a-z]+", name)[0] for _, names in fv.STYLE_WORDS for name in names]
+    return F.when(has_word(normalized, words), out)
 
 
 def split_producer(text: Column) -> tuple[Column, Column]:
@@ -128,6 +144,13 @@ def parse_items(df: DataFrame, text: str = "menu_text", split_before_clean: bool
     ).drop("_t", "_raw")
 
 
+def parse_distinct(df: DataFrame, text: str = "menu_text", **options) -> DataFrame:
+    """``parse_items`` where every distinct text is parsed once, whatever the number of rows that hold it."""
+    given = F.col(text).alias("_given")
+    texts = parse_items(df.select(given).distinct(), "_given", **options)
+    return df.join(texts, F.col(text).eqNullSafe(F.col("_given"))).drop("_given")
+
+
 def override_vintage(given: Column, parsed: Column) -> Column:
     """The caller's year wins; zero counts as not given."""
     return F.coalesce(F.when(given != 0, given), parsed)

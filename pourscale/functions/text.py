@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache, reduce
 
@@ -40,13 +41,33 @@ def rewrite(text: Column, rules) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
 
 
+def _needed(pattern: str) -> str:
+    """Letters that any match of a pattern holds: the longest run outside of its groups and options."""
+    plain = re.sub(r"\\.\??", " ", pattern)
+    while "(" in plain:
+        plain = re.sub(r"\([^()]*\)\??", " ", plain)
+    return max(re.findall(r"[a-z]+", re.sub(r".[?*]", " ", plain)), key=len)
+
+
+def rewrite_guarded(text: Column, rules) -> Column:
+    """``rewrite`` where a rule's expression only runs on texts that hold the letters it needs.
+
+    A search for letters costs a small part of an expression; the text is bound to a name, so that it isn't made anew for each use.
+    """
+    def change(pattern, replacement):
+        needed = F.lit(_needed(pattern))
+        return lambda x: F.when(F.contains(x, needed), F.regexp_replace(x, pattern, replacement)).otherwise(x)
+
+    return reduce(lambda t, rule: F.transform(F.array(t), change(*rule))[0], rules, text)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def normalize_text(text: Column) -> Column:
     """Comparison form: unaccented, lower case, short forms spelled out, [a-z0-9 ] only."""
-    spelled = rewrite(F.lower(strip_accents(text)), fv.SHORT_FORMS)
+    spelled = rewrite_guarded(F.lower(strip_accents(text)), fv.SHORT_FORMS)
     return F.trim(F.regexp_replace(spelled, r"[^a-z0-9]+", " "))
 
 

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from pourscale.checks import sql as s, views as v
 from pourscale.checks.q_items import parsed
 from pourscale.checks.q_match import index
-from pourscale.checks.q_offers import merged
+from pourscale.checks.q_offers import merged, products
 from pourscale.checks.registry import register
 from pourscale.functions import text as tx
 from pourscale.operators import estimates as es
+from pourscale.operators.offers import filter_price_band, merge_sources_by_year
 from pourscale.plans import analyze as an
 from pourscale.sources import lookups as lk
 
@@ -131,13 +132,17 @@ V["an1"] = (["an0"], f"SELECT *, CASE WHEN price_source = 'market_live' AND menu
 V["an"] = (["an1"], f"SELECT *, {s.score('wm', 'tier')} AS score FROM an1")
 
 
-ANALYSIS_SQL = s.q("an", f"SELECT item_id, wine_id, confidence, confidence_level, retail AS avg_retail, price_source, wm AS wholesale_multiple, score AS fairness_score, {s.verdict('score')} AS verdict FROM an")
+def analysis_sql(view, more=""):
+    return s.q(view, f"SELECT item_id, wine_id, confidence, confidence_level, retail AS avg_retail, price_source, wm AS wholesale_multiple, score AS fairness_score, {s.verdict('score')} AS verdict{more} FROM {view}")
 
 
-def analysis_rows(found):
+ANALYSIS_SQL = analysis_sql("an")
+
+
+def analysis_rows(found, *more):
     return found.select(
         "item_id", "wine_id", "confidence", F.coalesce("confidence_level", F.lit("none")).alias("confidence_level"), "avg_retail",
-        "price_source", "wholesale_multiple", "fairness_score", "verdict",
+        "price_source", "wholesale_multiple", "fairness_score", "verdict", *more,
     )
 
 
@@ -146,6 +151,26 @@ def _(spark, sf):
     return analysis_rows(analyzed(spark, sf))
 
 
+# prices by product and year
+V["banded_y"] = (["banded"], "SELECT * REPLACE (wine_id || '@' || vintage AS wine_id) FROM banded WHERE vintage IS NOT NULL")
+V["cat_y"] = (["cat", "banded_y"], "SELECT c.* REPLACE (y.wine_id AS id) FROM cat c JOIN (SELECT DISTINCT wine_id FROM banded_y) y ON c.id = split_part(y.wine_id, '@', 1)")
+s.clone("merged0", "banded", "_y")
+V["merged_y"] = (["merged0_y", "cat_y"], V["merged"][1].replace("FROM cat c LEFT JOIN merged0 m", "FROM cat_y c LEFT JOIN merged0_y m"))
+V["market"] = (["merged", "merged_y", "best"], """SELECT b.item_id AS of, CASE WHEN y.avg_retail IS NOT NULL THEN 'vintage' WHEN m.avg_retail IS NOT NULL THEN 'generic' END AS price_match,
+    coalesce(y.avg_retail, m.avg_retail) AS avg_retail, CASE WHEN y.avg_retail IS NOT NULL THEN y.estimated_wholesale ELSE m.estimated_wholesale END AS estimated_wholesale
+  FROM best b LEFT JOIN merged_y y ON y.wine_id = b.wine_id || '@' || b.vintage LEFT JOIN merged m ON m.wine_id = b.wine_id""")
+V["an0_by"] = (["best", "market", "cat"], V["an0"][1].replace("LEFT JOIN merged m ON m.wine_id = b.wine_id", "LEFT JOIN market m ON m.of = b.item_id").replace("SELECT b.*", "SELECT b.*, price_match"))
+V["an1_by"] = (["an0_by"], V["an1"][1].replace("FROM an0", "FROM an0_by"))
+V["an_by"] = (["an1_by"], V["an"][1].replace("FROM an1", "FROM an1_by"))
+
+
+@register("analyze_items_by_year", analysis_sql("an_by", ", price_match"))
+def _(spark, sf):
+    market = merge_sources_by_year(filter_price_band(v.offers(spark, sf)), products(spark, sf), v.TRUSTED)
+    found = an.analyze_items(v.menu(spark, sf), index(spark, sf), market)
+    return analysis_rows(found, "price_match")
+
+
 V["res"] = (["an"], f"SELECT menu_id, item_id, strong AS matched, CASE WHEN strong THEN cat_name END AS wine_name, coalesce(CASE WHEN strong THEN nullif(cat_varietal, '') END, parsed_varietal) AS varietal, retail AS retail_price, {s.deal('menu_price', 'retail')} AS deal_rating, CASE WHEN retail <> 0 THEN round(CAST(menu_price AS DOUBLE) / CAST(retail AS DOUBLE), 2) END AS markup FROM an")
 
 
@@ -167,3 +192,17 @@ def _(spark, sf):
     count(*) FILTER (deal_rating = 'steal') AS steals, count(*) FILTER (deal_rating = 'good') AS good_deals, count(*) FILTER (deal_rating = 'fair') AS fair_deals, count(*) FILTER (deal_rating = 'expensive') AS expensive FROM res GROUP BY menu_id"""))
 def _(spark, sf):
     return an.menu_summary(results(spark, sf))
+
+
+# ------------------------------------------------------------------ from menu lines to the summary of each menu
+from pourscale.checks import q_menu  # noqa: E402, F401  # its views
+
+V["menu_d"] = (["entries"], """SELECT menu_id || '-' || line_no || '-' || step || '-' || sub AS item_id, menu_id, "desc" AS menu_text, CAST(menu_price AS DECIMAL(12,2)) AS menu_price, TRY_CAST(vintage AS INTEGER) AS given_vintage FROM entries""")
+s.clone("res", "menu", "_d")
+_SUMMARY = "CAST(count(*) AS INTEGER) AS total_parsed, count(*) FILTER (matched) AS matched, count(*) FILTER (retail_price <> 0) AS with_price, count(*) FILTER (deal_rating = 'steal') AS steals, count(*) FILTER (deal_rating = 'expensive') AS expensive"
+
+
+@register("menu_to_summary", s.q("res_d", f"SELECT menu_id, {_SUMMARY} FROM res_d GROUP BY menu_id"))
+def _(spark, sf):
+    found = an.analyze_menus(v.lines(spark, sf), index(spark, sf), merged(spark, sf))
+    return an.menu_summary(found).select("menu_id", "total_parsed", "matched", "with_price", "steals", "expensive")

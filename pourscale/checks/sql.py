@@ -435,3 +435,26 @@ def q(views: str, body: str) -> str:
 def millionths(expr: str) -> str:
     """A number of zero or more in six decimals: whole billionths first, so that halves fall alike in both engines."""
     return f"CAST((CAST(round(CAST({expr} AS DOUBLE) * 1000000000) AS BIGINT) + 500) // 1000 AS DOUBLE) / 1000000"
+
+
+def clone(top: str, base: str, suffix: str) -> str:
+    """The same views from ``base`` up to ``top`` over another base, the view base + suffix; gives the new name of top."""
+
+    def above(name: str) -> bool:
+        return name == base or any(above(d) for d in VIEWS[name][0])
+
+    def renamed(text: str, name: str) -> str:
+        text = re.sub(rf"(?i)(\b(?:from|join)\s+|,\s*)({name})\b(?=\s|,|\)|$)", rf"\g<1>\g<2>{suffix}", text)
+        return re.sub(rf"\b{name}\.", f"{name}{suffix}.", text)
+
+    def add(name: str) -> None:
+        if name + suffix in VIEWS:
+            return
+        needs, text = VIEWS[name]
+        for d in [d for d in needs if above(d)]:
+            add(d)
+            text = renamed(text, d)
+        VIEWS[name + suffix] = ([d + suffix if above(d) else d for d in needs], text)
+
+    add(top)
+    return top + suffix

@@ -183,6 +183,19 @@ def merge_sources(source_prices: DataFrame, products: DataFrame, trusted: str) -
     )
 
 
+def merge_sources_by_year(offers: DataFrame, products: DataFrame, trusted: str) -> DataFrame:
+    """Merged prices of every product (vintage null) and of every (product, year) that offers name, one row each."""
+    generic = merge_sources(source_offer_stats(offers), products, trusted).withColumn("vintage", F.lit(None).cast("int"))
+    key = F.concat_ws("@", "wine_id", F.col("vintage").cast("string"))
+    dated = offers.where("vintage is not null").withColumn("wine_id", key)
+    years = offers.where("vintage is not null").select("wine_id", "vintage").distinct()
+    of = years.join(products, "wine_id").withColumn("wine_id", key).drop("vintage")
+    yearly = merge_sources(source_offer_stats(dated), of, trusted)
+    at = F.length("wine_id") - F.length(F.substring_index("wine_id", "@", -1))
+    yearly = yearly.withColumn("vintage", F.substring_index("wine_id", "@", -1).cast("int")).withColumn("wine_id", F.substring(F.col("wine_id"), F.lit(1), at - 1))
+    return generic.unionByName(yearly)
+
+
 def collect_sources(source_prices: DataFrame) -> DataFrame:
     """All source rows of a product as one array, ordered by source name.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pourscale.functions import pricing as px
-from pourscale.functions.items import override_vintage, parse_items
+from pourscale.functions.items import override_vintage, parse_distinct
 from pourscale.operators.estimates import effective_price, real_source_filter, regional_estimate
 from pourscale.operators.markup import analyze_markup
+from pourscale.operators.menu import parse_menu
 from pourscale.operators.match import fuzzy_match, match_key, match_texts, query_profiles, text_key
 
 _LIVE = {"avg_retail": "live_avg", "min_retail": "live_min", "max_retail": "live_max",
@@ -42,6 +43,30 @@ def pin_products(parsed: DataFrame, catalog: DataFrame, pinned: str = "pinned_id
     return hit, rest
 
 
+_MARKET = {"avg_retail": "mk_avg", "min_retail": "mk_min", "max_retail": "mk_max", "estimated_wholesale": "mk_wholesale", "data_confidence": "mk_confidence"}
+
+
+def product_prices(market: DataFrame) -> DataFrame:
+    """A row for each product: its price without a year, and those by year as a map of as many entries as it has years."""
+    if "vintage" not in market.columns:
+        market = market.withColumn("vintage", F.lit(None).cast("int"))
+    price, year = F.struct(*(F.col(a).alias(b) for a, b in _MARKET.items())), F.col("vintage").cast("int")
+    known = market.where("avg_retail is not null").select("wine_id", year.alias("vintage"), price.alias("price"))
+    known = known.groupBy("wine_id", "vintage").agg(F.min("price").alias("price"))
+    dated = F.when(F.col("vintage").isNotNull(), F.struct("vintage", "price"))
+    return known.groupBy("wine_id").agg(
+        F.map_from_entries(F.collect_list(dated)).alias("_by_year"), F.max(F.when(F.col("vintage").isNull(), F.col("price"))).alias("_generic")
+    )
+
+
+def price_of_year(items: DataFrame) -> DataFrame:
+    """Items (vintage, and the columns of ``product_prices``) with the price of their year, else the one without a year."""
+    exact = F.when(F.col("vintage").isNotNull(), F.try_element_at("_by_year", F.coalesce("vintage", F.lit(0))))
+    out = items.withColumn("_price", F.coalesce(exact, "_generic"))
+    match = F.when(exact.isNotNull(), "vintage").when(F.col("_generic").isNotNull(), "generic")
+    return out.select(*items.drop("_by_year", "_generic").columns, match.alias("price_match"), "_price.*")
+
+
 def analyze_items(
     items: DataFrame,
     index: DataFrame,
@@ -55,10 +80,11 @@ def analyze_items(
     """Parse, match, price and score items (menu_text, menu_price, given_vintage [, pinned_id]).
 
     ``index``: ``catalog_index`` output.  ``market``: merged price per wine_id
-    (``merge_sources``).  ``live``: price per lower-case trimmed menu text.
+    (``merge_sources``) or per wine_id and vintage (``merge_sources_by_year``): the
+    item's year counts, else the row without a year.  ``live``: price per lower-case trimmed menu text.
     ``lookups``: reference, varietals, premiums, hints for the estimates.
     """
-    parsed = parse_items(items)
+    parsed = parse_distinct(items)
     parsed = parsed.withColumn("vintage", override_vintage(F.col("given_vintage"), F.col("parsed_vintage")))
     if "pinned_id" in items.columns:
         hit, rest = pin_products(parsed, index)
@@ -71,14 +97,8 @@ def analyze_items(
         F.col("region").alias("cat_region"), F.col("varietal").alias("cat_varietal"),
         F.col("avg_retail_price").alias("cat_price"), F.col("price_tier").alias("cat_tier"),
     )
-    prices = market.where("avg_retail is not null").select(
-        "wine_id", F.col("avg_retail").alias("mk_avg"), F.col("min_retail").alias("mk_min"),
-        F.col("max_retail").alias("mk_max"), F.col("estimated_wholesale").alias("mk_wholesale"),
-        F.col("data_confidence").alias("mk_confidence"),
-    )
     # one product table per id, joined once to the items
-    known = catalog.join(prices, "wine_id", "left")
-    out = found.join(known, "wine_id", "left")
+    out = price_of_year(found.join(catalog.join(product_prices(market), "wine_id", "left"), "wine_id", "left"))
     if live is not None:
         side = live.select("lookup_id", *[F.col(a).alias(b) for a, b in _LIVE.items()])
         out = out.withColumn("lookup_id", F.lower(F.trim("menu_text"))).join(side, "lookup_id", "left").drop("lookup_id")
@@ -131,6 +151,16 @@ def project_result_row(analyzed: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def analyze_menus(lines: DataFrame, index: DataFrame, market: DataFrame, menu: str = "menu_id", **options) -> DataFrame:
+    """From numbered menu lines (``scan_menu_text``) to result rows, one for every entry found."""
+    entries = parse_menu(lines, menu)
+    items = entries.select(
+        menu, "line_no", "step", "sub", F.concat_ws("-", menu, "line_no", "step", "sub").alias("item_id"), F.col("desc").alias("menu_text"),
+        F.col("menu_price").cast("decimal(12,2)").alias("menu_price"), F.col("vintage").try_cast("int").alias("given_vintage"),
+    )
+    return project_result_row(analyze_items(items, index, market, **options), [menu, "item_id"])
+
+
 def unpriced(results: DataFrame) -> DataFrame:
     """Entries left without a price: the follow-up set."""
     return results.where("retail_price is null or retail_price = 0")

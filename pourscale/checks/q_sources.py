@@ -7,6 +7,7 @@ from pourscale.checks.registry import register
 from pourscale.functions import text as tx
 from pourscale.operators import catalog as c
 from pourscale.plans.analyze import validate_requests
+from pourscale.session import work_folder
 from pourscale.sources import readers as rd
 
 V = s.VIEWS
@@ -18,7 +19,8 @@ def keyed(spark, sf):
     e = v.events(spark, sf)
     doc = F.concat(
         F.lit('{"'), "wine_id", F.lit('":{"id":"w'), "wine_id", F.lit('","name":"'), "kind", F.lit('","avg_retail_price":'),
-        F.col("price").cast("string"), F.lit('},"k'), F.col("event_id").cast("string"), F.lit('":{"name":"only"}}'),
+        F.col("price").cast("string"), F.lit(',"event_id":'), F.col("event_id").cast("string"), F.lit('},"k'), F.col("event_id").cast("string"),
+        F.lit('":{"name":"only","event_id":'), F.col("event_id").cast("string"), F.lit("}}"),
     )
     return e.withColumn("doc", F.when(F.col("event_id") % 11 == 0, "{broken").otherwise(doc))
 
@@ -26,13 +28,20 @@ def keyed(spark, sf):
 @register("scan_keyed_json", s.q("keyed", f"""SELECT event_id, 'w' || wine_id AS id, kind AS name, 'red' AS wine_type, price AS avg_retail_price, {s.tier('price')} AS price_tier FROM keyed WHERE event_id % 11 <> 0
     UNION ALL SELECT event_id, 'k' || event_id, 'only', 'red', CAST(0 AS DECIMAL(12,2)), 'budget' FROM keyed WHERE event_id % 11 <> 0"""))
 def _(spark, sf):
-    rows = rd.keyed_json_rows(keyed(spark, sf), F.col("doc"), f"struct<{_struct(rd.ENTRY_SCHEMA)}>", ["event_id"])
-    r = lambda f, d: F.coalesce(F.col(f"record.{f}"), F.lit(d))
-    price = r("avg_retail_price", 0.0).cast("decimal(10,2)")
-    return c.derive_tier(
-        rows.select("event_id", F.coalesce("record.id", "key").alias("id"), r("name", "").alias("name"),
-                   r("wine_type", "red").alias("wine_type"), price.alias("avg_retail_price"))
-    )
+    rows, _ = keyed_files(spark, sf)
+    return rd.extended_catalog(rows, ["record.event_id"]).select("event_id", "id", "name", "wine_type", "avg_retail_price", "price_tier")
+
+
+@register("keyed_json_rejects", s.q("keyed", "SELECT 'malformed' AS reason, doc AS text, count(*) AS n FROM keyed WHERE event_id % 11 = 0 GROUP BY doc"))
+def _(spark, sf):
+    return keyed_files(spark, sf)[1].groupBy("reason", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyed_files(spark, sf):
+    """The documents written as text files and read back: rows and rejected documents."""
+    folder = work_folder(spark, "keyed")
+    keyed(spark, sf).select("doc").write.text(folder)
+    return rd.read_keyed_json(spark, folder, f"struct<{_struct(rd.ENTRY_SCHEMA)}, event_id: bigint>", lines=True)
 
 
 def _struct(ddl):

@@ -26,9 +26,22 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return derive_tier(spark.read.schema(CATALOG_SCHEMA).format(fmt).load(path))
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """``{key: record}`` files to rows (key, record); a malformed file gives none."""
-    return keyed_json_rows(spark.read.text(path, wholetext=True), F.col("value"), value_schema)
+def read_keyed_json(spark: SparkSession, path: str, value_schema: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``{key: record}`` documents to rows (path, key, record), and the documents that are none (path, reason, text).
+
+    A document is a file, or a line of one where ``lines`` is set. Documents that are empty, malformed or no object go
+    to the second table; the others are read whole.
+    """
+    texts = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    variant = F.try_parse_json("text")
+    reason = (
+        F.when(F.trim("text") == "", "empty")
+        .when(variant.isNull(), "malformed")
+        .when(~F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), "not an object")
+    )
+    marked = texts.withColumn("reason", reason)
+    good = marked.where("reason is null").drop("reason")
+    return keyed_json_rows(good, F.col("text"), value_schema, ["path"]), marked.where("reason is not null").select("path", "reason", "text")
 
 
 def keyed_json_rows(df: DataFrame, text: Column, value_schema: str, keep: list[str] | None = None) -> DataFrame:
@@ -36,12 +49,12 @@ def keyed_json_rows(df: DataFrame, text: Column, value_schema: str, keep: list[s
     return df.select(*(keep or []), F.explode(parsed).alias("key", "record"))
 
 
-def extended_catalog(rows: DataFrame) -> DataFrame:
-    """Keyed catalog records with the defaults of missing fields."""
+def extended_catalog(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Keyed catalog records with the defaults of missing fields, and the columns ``keep``."""
     r = lambda c, default="": F.coalesce(F.col(f"record.{c}"), F.lit(default)).alias(c)
     return derive_tier(
         rows.select(
-            F.coalesce("record.id", "key").alias("id"), r("name"), r("producer"), r("region"), r("country"),
+            *(keep or []), F.coalesce("record.id", "key").alias("id"), r("name"), r("producer"), r("region"), r("country"),
             r("appellation"), r("varietal"), r("wine_type", "red"),
             F.coalesce("record.avg_retail_price", F.lit(0.0)).cast("decimal(10,2)").alias("avg_retail_price"),
             F.coalesce("record.aliases", F.array().cast("array<string>")).alias("aliases"),
@@ -57,16 +70,16 @@ def read_menus(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ content types
-def sniff_content_type(content_type: Column, url: Column, text: Column) -> Column:
-    """pdf, image, html or text from the MIME type, the file ending, the first 2000 characters."""
+def sniff_content_type(content_type: Column, url: Column, text: Column, head: int = 2000) -> Column:
+    """pdf, image, html or text from the MIME type, the file ending, the first ``head`` characters."""
     mime = F.lower(F.coalesce(content_type, F.lit("")))
     path = F.lower(F.substring_index(url, "?", 1))
     ends = lambda *xs: F.regexp_like(path, F.lit(r"(?:" + "|".join(rf"\.{x}" for x in xs) + r")$"))
-    head = F.lower(F.substring(text, 1, 2000))
+    start = F.lower(F.substring(text, 1, head))
     return (
         F.when(F.contains(mime, F.lit("pdf")) | ends("pdf"), "pdf")
         .when(F.startswith(mime, F.lit("image/")) | ends("jpg", "jpeg", "png", "webp"), "image")
-        .when(F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<body")), "html")
+        .when(F.contains(start, F.lit("<html")) | F.contains(start, F.lit("<body")), "html")
         .otherwise("text")
     )
 

@@ -13,10 +13,8 @@ from pourscale.session import SETTINGS
 
 HEADLINE = [
     "normalize_text", "parse_item", "source_offer_stats", "merge_sources", "verdict_summary", "analyze_markup",
-    "freshness_worklist", "section_state",
+    "freshness_worklist", "section_state", "parse_menu", "producer_gate", "fuzzy_match_join",
 ]
-# not in the default list while they are too slow at sf0.1 (see README): name them in BENCH_QUERIES
-SLOW = ["parse_menu", "producer_gate", "fuzzy_match_join", "analyze_items"]
 
 
 def main() -> None:

@@ -104,6 +104,34 @@ def _(spark, sf):
     )
 
 
+_Y = "CAST(2000 + catalog_ordinal % 20 AS VARCHAR)"
+_TITLED = "CASE WHEN catalog_ordinal % 5 = 0 THEN producer || ' ' || name ELSE name END"
+
+
+def titled(spark, sf):
+    """Products of which some have their producer in the name."""
+    name = F.when(F.col("catalog_ordinal") % 5 == 0, F.concat_ws(" ", "producer", "name")).otherwise(F.col("name"))
+    return v.cat(spark, sf).select("id", name.alias("name"), "producer", (2000 + F.col("catalog_ordinal") % 20).alias("year"))
+
+
+@register(
+    "catalog_phrases",
+    s.q("cat", f"""SELECT id, base || ' ' || y || '|' || base || '|' || producer || ' ' || y || '|' || producer AS phrases FROM (
+        SELECT *, CASE WHEN starts_with(n, left(p, length(p) // 2)) THEN title ELSE producer || ' ' || title END AS base FROM (
+          SELECT id, producer, {_TITLED} AS title, {_Y} AS y, {s.listing_text('producer')} AS p, {s.listing_text(_TITLED)} AS n FROM cat))"""),
+)
+def _(spark, sf):
+    return titled(spark, sf).select("id", F.array_join(tx.catalog_phrases(F.col("name"), F.col("producer"), F.col("year")), "|").alias("phrases"))
+
+
+@register(
+    "retail_phrase",
+    s.q("cat", f"""SELECT id, array_to_string(list_concat([producer], list_slice(list_filter(string_split({_TITLED}, ' '), lambda w: length(w) > 2 AND NOT list_contains({s.values(fv.RETAIL_SKIP_WORDS)}, lower(w))), 1, 3), [{_Y}]), ' ') AS phrase FROM cat"""),
+)
+def _(spark, sf):
+    return titled(spark, sf).select("id", tx.retail_phrase(F.col("name"), F.col("producer"), F.col("year")).alias("phrase"))
+
+
 @register(
     "producer_guess",
     s.q("cat", f"""SELECT id, array_to_string(list_slice(w, 1, CASE WHEN list_contains({s.values(fv.HOUSE_PREFIXES)}, lower(w[1])) THEN 3 ELSE 2 END), ' ') AS guess

@@ -184,7 +184,3 @@ def apply_premium(avg: Column, low: Column, high: Column, k: Column) -> dict[str
         "min_retail": F.bround(F.coalesce(low, F.lit(30.0)) * k * 0.6),
         "max_retail": F.bround(F.coalesce(high, F.lit(100.0)) * k * 1.5),
     }
-
-
-def band_reason(price: Column, band: tuple[int, int]) -> Column:
-    return reduce(lambda c, r: c.when(*r), [(price > band[1], "above")], F.when(price < band[0], "below")).otherwise("in")

@@ -272,10 +272,6 @@ def bottle_equivalent(price: Column, section: Column) -> Column:
     return scaled.cast("decimal(12,2)")
 
 
-def in_band(price: Column, band: tuple[int, int]) -> Column:
-    return price.between(*band)
-
-
 # ------------------------------------------------------------------ HTML
 def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pourscale import fixed_values as fv
 from pourscale.functions import pricing as px
+from pourscale.operators.skew import salted_join
 
 MONEY = "decimal(12,2)"
 WIDE = "decimal(20,2)"
@@ -77,29 +78,13 @@ def source_offer_stats(offers: DataFrame, keys=("wine_id", "source")) -> DataFra
 def trim_offer_outliers(offers: DataFrame, keys=("wine_id", "source"), factor: int = 5) -> DataFrame:
     """Statistics without prices above ``factor`` x upper median, from three offers on.
 
-    Offers are first counted per (key, price): at cent precision inside a price
-    band the number of rows per key is bounded however many offers it has, and
-    everything after works on the counts.
+    Medians are map-side combined aggregates; offers meet their median in shares where one product has many of
+    them, so neither step brings all offers of a product together.
     """
-    counts = offers.groupBy(*keys, "price").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"_cum": F.sum("n").over(up), "_total": F.sum("n").over(w)})
-    middle = F.min(F.when(F.col("_cum") > F.floor(F.col("_total") / 2), F.col("price"))).over(w)
-    kept = ranked.withColumn("_mid", middle).where(
-        (F.col("_total") < 3) | (F.col("price") <= F.col("_mid") * factor)
-    )
-    again = kept.select(*keys, "price", "n").withColumns(
-        {"_cum": F.sum("n").over(up), "_total": F.sum("n").over(w)}
-    )
-    total = F.sum(F.col("n"))
-    return again.groupBy(*keys).agg(
-        F.round(F.sum(F.col("price").cast(WIDE) * F.col("n")) / total, 2).cast(MONEY).alias("avg_price"),
-        F.min("price").cast(MONEY).alias("min_price"),
-        F.max("price").cast(MONEY).alias("max_price"),
-        F.min(F.when(F.col("_cum") > F.floor(F.col("_total") / 2), F.col("price"))).cast(MONEY).alias("median_price"),
-        total.cast("int").alias("num_listings"),
-    )
+    rows = offers.select(*keys, "price")
+    middle = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), upper_median("price").alias("_mid"))
+    kept = salted_join(rows, middle, list(keys), "price").where((F.col("_total") < 3) | (F.col("price") <= F.col("_mid") * factor))
+    return source_offer_stats(kept, keys)
 
 
 def live_offer_stats(hits: DataFrame, offers: DataFrame) -> DataFrame:

@@ -55,26 +55,34 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     return both.withColumn("pos", F.col("pos") + F.coalesce("before", F.lit(0))).drop("part", "edge", "of", "before")
 
 
+def _of(key: list[str]):
+    return F.xxhash64(*key)
+
+
 def join_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows joined with table on key, frequent keys by broadcast.
 
     table has each key once and in count how many of the ``total`` rows hold it: fewer than HOT keys can be frequent.
     """
-    hot = F.broadcast(table.where(F.col(count) * HOT > total))
-    some = rows.join(hot, key)
-    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) * HOT <= total), key)
+    hot = table.where(F.col(count) * HOT > total)
+    frequent = _of([key]).isin([r[0] for r in hot.select(_of([key])).collect()])
+    some = rows.where(frequent).join(F.broadcast(table.where(frequent & (F.col(count) * HOT > total))), key)
+    rest = rows.join(table.where(F.col(count) * HOT <= total), key)
     return some.unionByName(rest)
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, how: str = "inner", each: int = 256) -> DataFrame:
     """rows joined with table, which has each key once; rows should be cheap to read twice and keys not null.
 
-    The HOT most frequent keys with over ``each`` rows are dealt out by the hash of column ``by``: their rows of
-    table are repeated once for every ``each`` rows, so no task has to take all rows of a frequent key.
+    Of the keys with over ``each`` rows the HOT most frequent ones are dealt out into shares by the hash of column
+    ``by``, and their rows of table are repeated for every share, so no task has to take all rows of a frequent
+    key. The driver sees the hashes of these keys and the rows of the largest: that gives the number of shares.
     """
     key = [key] if isinstance(key, str) else key
-    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("of_key")).where(F.col("of_key") > each).orderBy(F.desc("of_key"), *key).limit(HOT)
-    hot = F.broadcast(hot.select(*key, F.ceil(F.col("of_key") / each).cast("int").alias("shares")))
-    left = rows.join(hot, key, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(by), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
-    right = table.join(hot, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    hot = rows.groupBy(_of(key).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > each).orderBy(F.desc("n"), "h").limit(HOT).collect()
+    if not hot:
+        return rows.join(table, key, how)
+    frequent, shares = _of(key).isin([r["h"] for r in hot]), min(HOT, -(-hot[0]["n"] // each))
+    left = rows.withColumn("share", F.when(frequent, F.pmod(F.xxhash64(by), F.lit(shares)).cast("int")).otherwise(0))
+    right = table.withColumn("share", F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*key, "share"], how).drop("share")

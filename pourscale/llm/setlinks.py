@@ -1,8 +1,8 @@
 """Verified links between sets that share a key.
 
-Under each key every set is first compared with the key's least one. What these links join is settled. Where a
-key still holds sets of different components, small keys have the pairs left compared. In larger ones
-candidates come from an exact prefix filter: two sets of Jaccard similarity t share one of the n - ceil(t n) + 1 rarest
+Under each key every set is first compared with one of its sets, drawn by hash, so that the keys of a group of near
+copies draw different ones. What these links join is settled, and keys that still hold sets of different components
+draw again, ``ROUNDS`` times in all. After that, small keys have the pairs left compared. In larger ones candidates come from an exact prefix filter: two sets of Jaccard similarity t share one of the n - ceil(t n) + 1 rarest
 members of either, with enough members behind it, so only such sets are compared, however common the rest of them
 is. No pair is lost by it, and neither copies nor pages of one template have all their pairs written out.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from pourscale.llm.simhash import components
 
 #: Nodes up to which a key's pairs are compared directly.
 BUCKET = 32
+#: Slots in which the members of sets are counted: 8 bytes each go to every task.
+SLOTS = 1 << 17
+#: How often keys draw a set to compare the others with.
+ROUNDS = 3
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -33,30 +39,50 @@ def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
 
 
 def rare(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """node, n, member and at (its place from 0) for the rarest members of each set: similar sets share one of them."""
+    """node, n, member and at (its place from 0) for the rarest members of each set: similar sets share one of them.
+
+    Any order that is the same for all sets finds them all. Here members go by the count of their slot, of SLOTS slots
+    by hash, which every task gets as one array, then by value.
+    """
     over, under = least
-    each = sets.select("node", F.size("members").cast("bigint").alias("n"), F.explode("members").alias("member"))
-    many = each.groupBy("member").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
-    each = each.join(many, "member", "left").select("node", "n", F.struct(F.coalesce("of", F.lit(1)).alias("of"), "member").alias("m"))
-    firsts = each.groupBy("node", "n").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    prefix = (F.col("n") - F.expr(f"(n * {over} + {under - 1}) div {under}") + 1).cast("int")
-    firsts = firsts.select("node", "n", F.posexplode(F.slice("m", F.lit(1), prefix)).alias("at", "m"))
-    return firsts.where("m.of > 1").select("node", "n", F.col("m.member").alias("member"), "at")
+    slot = F.pmod("member", F.lit(SLOTS)).cast("int").alias("slot")
+    counts = np.zeros(SLOTS, np.int64)
+    for r in sets.select(F.explode("members").alias("member")).groupBy(slot).count().collect():  # SLOTS rows at most
+        counts[r["slot"]] = r["count"]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def firsts(members: pd.Series) -> pd.Series:
+        out = []
+        for x in members:
+            x = np.asarray(x, np.int64)
+            order = np.lexsort((x, shared.value[x % SLOTS]))
+            out.append(x[order[: len(x) - (len(x) * over + under - 1) // under + 1]])
+        return pd.Series(out)
+
+    chosen = sets.select("node", F.size("members").cast("bigint").alias("n"), F.pandas_udf(firsts, "array<bigint>")("members").alias("m"))
+    return chosen.select("node", "n", F.posexplode("m").alias("at", "member"))
 
 
 def sharing(firsts: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Candidates a, b of ``rare`` rows (with root): pairs of different roots that share a rare member early enough.
+    """Candidates a < b of ``rare`` rows (with root): pairs of different roots that share a rare member early enough.
 
     The smaller set of a similar pair has it among its first n - ceil(2 t n / (1 + t)) + 1. Behind the first member
-    that two sets share lie at least the others they share, so too few left behind it rule the pair out.
+    that two sets share lie at least the others they share, so too few left behind it rule the pair out. Of two sets
+    of different roots one is not of the member's most frequent root: only these meet all others of the member.
     """
     over, under = least
-    index = firsts.where(f"at <= n - (n * {2 * over} + {over + under - 1}) div {over + under}")
-    index = index.select("member", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-    both = index.join(firsts, "member").where((F.col("n_a") < F.col("n")) | (F.col("n_a") == F.col("n")) & (F.col("a") < F.col("node")))
-    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    both = both.where((F.col("root") != F.col("root_a")) & (under * F.col("n_a") >= over * F.col("n")) & ((over + under) * behind >= over * (F.col("n_a") + F.col("n"))))
-    return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    of_root = firsts.groupBy("member", "root").agg(F.count(F.lit(1)).alias("rows"))
+    major = of_root.groupBy("member").agg(F.max(F.struct("rows", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("member", F.col("m.root").alias("major"))
+    firsts = spread_join(firsts, major, "member", "node").withColumn("minor", F.col("root") != F.col("major"))
+    firsts = firsts.withColumn("early", F.expr(f"at <= n - (n * {2 * over} + {over + under - 1}) div {over + under}"))
+    firsts = written(firsts.drop("major"), "links-firsts")
+    x = firsts.where("minor").select("member", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root", "early")))
+    smaller = (F.col("x_n") < F.col("n")) | (F.col("x_n") == F.col("n")) & (F.col("x_node") < F.col("node"))
+    behind = F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at"))
+    close = (under * F.least("x_n", "n") >= over * F.greatest("x_n", "n")) & ((over + under) * behind >= over * (F.col("x_n") + F.col("n")))
+    once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
+    both = x.join(firsts, "member").where((F.col("root") != F.col("x_root")) & once & close & F.when(smaller, F.col("x_early")).otherwise(F.col("early")))
+    return both.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
 
 
 def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: tuple[int, int], bucket: int = BUCKET) -> DataFrame:
@@ -65,23 +91,28 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: tu
     nodes: node, n (members of its set) and keys; sets_of gives node and members for a table of nodes.
     """
     over, under = least
-    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
-    heads = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("head")).where("size > 1")
-    dealt = written(dealt.join(heads, "key"), "links-keys")
     fits = lambda m, n: (under * F.least(m, n) >= over * F.greatest(m, n))  # noqa: E731  # else the sizes alone forbid the similarity
-    sets = written(sets_of(dealt.select("node").distinct()), "links-sets")
-    star = dealt.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    star = written(verified(star, sets, least), "links-star")
-    roots = written(components(star), "links-roots")
-    # keys whose nodes are all in one component need no more pairs
-    placed = dealt.join(roots, "node", "left").select("key", "size", "node", "n", F.col("head.node").alias("head"), F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "links-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = written(placed.join(mixed, "key"), "links-left")
-
-    small = left.where((F.col("size") <= bucket) & (F.col("node") != F.col("head")))
+    dealt = written(nodes.select("node", "n", F.explode("keys").alias("key")), "links-dealt")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    left = written(spread_join(dealt, sizes, "key", "node").withColumn("root", F.col("node")), "links-keys")
+    sets = written(sets_of(left.select("node").distinct()), "links-sets")
+    edges = None
+    for drawn in range(ROUNDS):
+        heads = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(drawn)), "node", "n", "root")).alias("head"))
+        star = spread_join(left, heads, "key", "node").where((F.col("root") != F.col("head.root")) & fits(F.col("n"), F.col("head.n")))
+        star = verified(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")), sets, least)
+        edges = written(star if edges is None else edges.unionByName(star), "links-star")
+        # of what is joined, a tree is enough; keys whose nodes are all in one component need no more pairs
+        roots = written(components(edges), "links-roots")
+        edges = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        placed = written(left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "links-placed")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        left = written(spread_join(placed, mixed, "key", "node"), "links-left")
+        if left.isEmpty():
+            return edges
+    small = left.where(F.col("size") <= bucket)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     few = small.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits(F.col("n"), F.col("n_b"))).select("a", "b")
     large = left.where(F.col("size") > bucket).select("node", "root").distinct()
     firsts = written(rare(sets.join(large.select("node"), "node"), least).join(large, "node"), "links-rare")
-    return star.unionByName(verified(few.unionByName(sharing(firsts, least)), sets, least))
+    return edges.unionByName(verified(few.unionByName(sharing(firsts, least)), sets, least))

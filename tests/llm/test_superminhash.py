@@ -76,7 +76,8 @@ def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     given = [f"{shared} " + " ".join(f"own{k}x{j}" for j in range(40)) for k in range(300)]
     given += [given[5] + " more", given[250] + " more"]
     assert found(spark, documents(spark, given)) == brute(list(enumerate(given)))
-    assert sum(seen) < 30 * len(given), seen
+    # a draw compares each text once a key; a full comparison would take 45 451 pairs
+    assert sum(seen) <= superminhash.BANDS * setlinks.ROUNDS * len(given), seen
 
 
 def test_empty_table(spark):

@@ -22,10 +22,11 @@ def ship_package(spark: SparkSession) -> None:
         context._pourscale_shipped = True
 
 
-def prepare(spark: SparkSession, rows: int = 512) -> None:
-    """Ships the package and sets Arrow batches of few rows: with the default of 10 000, long texts fill a worker's memory."""
+def prepare(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Ships the package and bounds Arrow batches by rows and bytes: with the default of 10 000 rows, long texts fill a worker's memory."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

@@ -3,7 +3,7 @@
 Where the tokenizer drops white space and ends words by a suffix, a text's ids are
 those of its white-space parts one after the other, so each part met before comes
 from a memo and the library encodes the new ones. Memos live as long as the Python
-worker and are emptied at ``MEMO`` parts; they change no result.
+worker and take at most ``MEMO`` bytes each; they change no result.
 Other tokenizers encode every text by the library alone.
 """
 
@@ -19,7 +19,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-MEMO = 600_000
+MEMO = 32 << 20
+#: Bytes that an entry takes besides its characters and ids.
+_ENTRY = 220
 #: Latin letters, then punctuation: two words for the tokenizer, the first in lower case.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: What str.split() parts and the tokenizer's white space does not.
@@ -29,6 +31,28 @@ _printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_printable)))}
 
 
+class _Memo(dict):
+    """A dictionary of at most half of MEMO bytes, and the one before it, whose entries come back when they are met again."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.room = MEMO // 2
+
+    def again(self, key: str) -> bytes | None:
+        found = self.before.get(key)
+        return None if found is None else self.keep(key, found)
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        self.room -= _ENTRY + len(key) + len(ids)
+        if self.room < 0:
+            self.before = dict(self)
+            self.clear()
+            self.room = MEMO // 2
+        self[key] = ids
+        return ids
+
+
 class TextEncoder:
     def __init__(self, path: str = TOKENIZER):
         self.library = Tokenizer.from_file(path)
@@ -39,20 +63,18 @@ class TextEncoder:
         first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_parts = bool(rules["model"].get("end_of_word_suffix")) and first.get("behavior") == "Removed" and first.get("invert") is True
         self.tokenize = self.library.model.tokenize
-        self.parts: dict[str, bytes] = {}  # of white-space parts
-        self.words: dict[str, bytes] = {}  # of pre-tokens
+        self.parts = _Memo()  # of white-space parts
+        self.words = _Memo()  # of pre-tokens
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token in lower case, straight from the library's model."""
-        found = self.words.get(word)
+        found = self.words.get(word) or self.words.again(word)
         if found is None:
             found = array(self.dtype.char, [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            self.words[word] = found
+            self.words.keep(word, found)
         return found
 
     def _part(self, part: str) -> bytes:
@@ -61,10 +83,7 @@ class TextEncoder:
             found = self._word(word.lower()) + self._word(marks) if word and marks else self._word(word.lower() or marks)
         else:
             found = self._library(part)
-        if len(self.parts) >= MEMO:
-            self.parts.clear()
-        self.parts[part] = found
-        return found
+        return self.parts.keep(part, found)
 
     def _text(self, text: str | None) -> bytes:
         if not text or _ODD_SPACE.search(text):
@@ -72,7 +91,7 @@ class TextEncoder:
         parts = text.split()
         found = list(map(self.parts.get, parts))
         if None in found:
-            found = [ids if ids is not None else self.parts.get(part) or self._part(part) for ids, part in zip(found, parts)]
+            found = [ids if ids is not None else self.parts.get(part) or self.parts.again(part) or self._part(part) for ids, part in zip(found, parts)]
         return b"".join(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

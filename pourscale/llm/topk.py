@@ -7,7 +7,8 @@ reading, a row's score lies between the sum of what was read of it plus the list
 least values and that sum plus the lists' present values. Rows whose upper bound lies
 below the k-th largest lower bound are outsiders; reading stops when only ``few`` rows
 can still qualify or the lists end, and their scores are then resolved. The best k of
-a block's rows meet those of the other blocks by query.
+a block's rows meet those of the other blocks by query. Nothing is looked up by row before that: a row's sum grows only
+as its entries come up in the lists.
 
 Ties go to the smaller id, and bounds keep rows that may tie. Vectors of unequal
 length are compared as if filled with zeros. Scores are exact up to 2**63.
@@ -28,48 +29,58 @@ from pourscale.llm.vectors import matrix
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 FEW = 64
-ROUNDS = (4, 8, 12, 15)  # sixteenths of the lists after which bounds are compared
+#: Parts of a list that are read between two comparisons of bounds.
+STRIDES = 16
 
 
 class SortedLists:
-    """A block's rows and, for each component, the list of its values in order.
-
-    A list read to some depth from its top tells every value down to the one read
-    last; a row not met there has at most that value, and at least the list's least.
-    """
+    """A block's rows as lists, one for each component: its values in order, each with its row's number."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows, self.lists = ids, rows, np.sort(rows, axis=0)
+        self.ids, self.rows = ids, rows
+        self.order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, self.order, axis=0)
+        self.entries_read = 0  # entries of all lists, over all searches
 
-    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores (rows by queries) after reading to a depth.
+    def search(self, query: np.ndarray, own: int, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best rows but the query's own.
 
-        up and down: the queries' positive components, which read from the top, and negative ones, which read from the bottom.
+        Lists are read from the end that helps the query, by strides. Of what has been read, each row has a partial
+        sum and a mask of the lists in which it was met; bounds come from these and the lists' present and least values.
         """
-        top, bottom, least, most = self.lists[-depth], self.lists[depth - 1], self.lists[0], self.lists[-1]
-        upper = np.maximum(self.rows, top) @ up + np.minimum(self.rows, bottom) @ down
-        lower = np.where(self.rows >= top, self.rows, least) @ up + np.where(self.rows <= bottom, self.rows, most) @ down
-        return lower, upper
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its k best rows but its own."""
-        n, found = len(self.rows), [None] * len(queries)
-        left = np.arange(len(queries))
-        for depth in sorted({max(1, n * part // 16) for part in ROUNDS}) if n > max(few, k) else []:
-            if not len(left):
+        n, used = len(self.rows), np.flatnonzero(query)
+        if n <= max(few, k) or not len(used):
+            return self._best(np.flatnonzero(self.ids != own), query, k)
+        weights = query[used]
+        at, column = np.arange(len(used)), np.where(weights > 0, -1, 1)
+        least = weights * np.where(weights > 0, self.values[0, used], self.values[-1, used])
+        partial, met, floor = np.zeros(n, query.dtype), np.zeros((n, len(used)), query.dtype), np.full(n, least.sum())
+        alive = self.ids != own
+        stride, depth = max(1, -(-n // STRIDES)), 0
+        while depth < n:
+            steps = np.arange(depth, min(n, depth + stride))
+            places = np.where(column == -1, n - 1 - steps[:, None], steps[:, None])  # entry by list
+            rows, parts = self.order[places, used], weights * self.values[places, used]
+            self.entries_read += rows.size
+            partial += self._sums(rows, parts)
+            floor += self._sums(rows, parts - least)
+            met[rows, at] = 1
+            depth += len(steps)
+            present = parts[-1]
+            upper = partial + (present.sum() - met @ present)
+            lower = np.where(alive, floor, floor.min() - 1)
+            alive &= upper >= np.partition(lower, n - k)[n - k]
+            if alive.sum() <= max(few, k):
                 break
-            q = queries[left].T
-            lower, upper = self.bounds(depth, np.maximum(q, 0), np.minimum(q, 0))
-            self_row = self.ids[:, None] == own[left]
-            lower[self_row] = upper[self_row] = lower.min() - 1
-            alive = upper >= np.partition(lower, n - k, axis=0)[n - k]
-            decided = alive.sum(0) <= max(few, k)
-            for j in np.flatnonzero(decided):
-                found[left[j]] = self._best(np.flatnonzero(alive[:, j] & ~self_row[:, j]), queries[left[j]], k)
-            left = left[~decided]
-        for j in left:  # the lists have ended
-            found[j] = self._best(np.flatnonzero(self.ids != own[j]), queries[j], k)
-        return found
+        return self._best(np.flatnonzero(alive), query, k)
+
+    def _sums(self, rows: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """The sum of the parts of each row."""
+        if parts.dtype == np.float64:
+            return np.bincount(rows.ravel(), parts.ravel(), len(self.rows))
+        out = np.zeros(len(self.rows), parts.dtype)  # whole numbers too large for a double
+        np.add.at(out, rows, parts)
+        return out
 
     def _best(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.rows[at] @ query
@@ -86,7 +97,8 @@ def _search_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.Data
     if largest**2 * both.shape[1] < 1 << 53:
         both = both.astype(np.float64)  # exact, and faster
     own = queries["id"].to_numpy(np.int64)
-    found = SortedLists(rows["id"].to_numpy(np.int64), both[len(queries) :]).search(both[: len(queries)], own, k)
+    lists = SortedLists(rows["id"].to_numpy(np.int64), both[len(queries) :])
+    found = [lists.search(query, id_, k) for query, id_ in zip(both[: len(queries)], own)]
     return pd.DataFrame({
         "query_id": np.repeat(own, [len(f[0]) for f in found]),
         "id": np.concatenate([f[0] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64),

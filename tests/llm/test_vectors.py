@@ -42,23 +42,24 @@ def test_top_k_equals_brute_force(spark):
         assert len(got) == 14
 
 
-def test_bounds_hold_and_reading_stops_before_the_lists_end(monkeypatch):
+def test_reading_stops_before_the_lists_end():
     rng = np.random.default_rng(1)
     rows = np.round(rng.normal(size=(2000, 3)) * 50)
-    lists = topk.SortedLists(np.arange(2000), rows)
-    queries = np.array([[1.0, -2.0, 0.0], [3.0, 1.0, -1.0]])
+    queries, own = np.array([[1.0, -2.0, 0.0], [3.0, 1.0, -1.0], [0.0, 0.0, 0.0]]), [-1, 7, 9]
     scores = rows @ queries.T
-    for depth in (1, 100, 1999, 2000):
-        lower, upper = lists.bounds(depth, np.maximum(queries.T, 0), np.minimum(queries.T, 0))
-        assert (lower <= scores).all() and (scores <= upper).all()
-    assert (lower == scores).all() and (upper == scores).all()
-    resolved = []
-    best = topk.SortedLists._best
-    monkeypatch.setattr(topk.SortedLists, "_best", lambda self, at, q, k: resolved.append(len(at)) or best(self, at, q, k))
-    for j, (ids, got) in enumerate(lists.search(queries, np.array([-1, 7]), 5)):
-        wanted = [i for i in np.lexsort((np.arange(2000), -scores[:, j])) if i != 7 or j == 0][:5]
+    for j, (query, id_) in enumerate(zip(queries, own)):
+        lists = topk.SortedLists(np.arange(2000), rows)
+        ids, got = lists.search(query, id_, 5)
+        wanted = [i for i in np.lexsort((np.arange(2000), -scores[:, j])) if i != id_][:5]
         assert ids.tolist() == wanted and (got == scores[wanted, j]).all()
-    assert max(resolved) <= topk.FEW
+        assert lists.entries_read < 2000 * np.count_nonzero(query) or j == 2, lists.entries_read
+    assert topk.SortedLists(np.arange(0), rows[:0]).search(queries[0], 1, 5)[0].tolist() == []
+
+
+def test_every_entry_is_read_where_bounds_never_part():
+    lists = topk.SortedLists(np.arange(500), np.ones((500, 4)))
+    ids, got = lists.search(np.array([1.0, 2.0, -1.0, 1.0]), 3, 5)
+    assert ids.tolist() == [0, 1, 2, 4, 5] and (got == 3).all() and lists.entries_read == 2000
 
 
 def test_top_k_of_few_large_and_empty(spark):

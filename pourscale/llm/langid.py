@@ -32,6 +32,8 @@ from pourscale.llm.common import written
 
 DIMS = 1 << 13
 CENTROIDS = 3
+#: Parts in which the rows of a language are ranked first.
+PARTS = 64
 SAMPLE_ROWS = 1500
 ROUNDS = 8
 SLACK = 0.6
@@ -151,8 +153,10 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample_rows: int = SAMPLE_R
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null")
     total, found = document_frequencies(known)
     idf = np.log((1 + total) / (1 + found)) + 1.0
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = known.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash))
+    # the first rows of a language are among the first of its parts: a frequent language is ranked by many tasks
+    order, part = [F.xxhash64("doc_id"), F.col("doc_id")], F.pmod(F.hash("doc_id"), F.lit(PARTS)).alias("part")
+    first = known.select("doc_id", "lang", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    first = first.where(F.col("place") <= sample_rows).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     chosen = first.where((F.col("place") <= sample_rows) & (F.col("place") % 4 > 0)).select("doc_id", "lang").distinct()
     chosen = F.broadcast(written(chosen, "langid-sample"))  # sample_rows rows a language at most
     bare = Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pourscale.llm.common import text_digest, unused, written
+from pourscale.llm.ordered import spread_join
 
 WORDS = 3
 SEED = 42
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     firsts = joined.groupBy("root").agg(F.min("first").alias("least"))
     joined = joined.join(firsts, "root").select("fp", "least")
     of = prints.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
-    return rows.join(of, "fp").select("doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("first_digest"))
+    return spread_join(rows, of, "fp", "doc_id").select("doc_id", "digest", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("first_digest"))
 
 
 def keep_one(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:

@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pourscale.llm.common import written
-from pourscale.llm.tokens import TOKENIZER, encoder
+from pourscale.llm.tokens import MEMO, TOKENIZER, encoder
 
 LENGTH = 4096
 END = 2
 PIECE = "doc_id {id}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, begins boolean, ends boolean"
 
 
-def tokenized(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str = TOKENIZER, end: int = END, memo: int = MEMO) -> DataFrame:
     """doc_id, ids (little-endian), n (ids), part (task) and base (ids of the task before it) for each row of docs."""
 
     def rows(batches):
-        own, part, base = encoder(path), TaskContext.get().partitionId(), 0
+        own, part, base = encoder(path, memo), TaskContext.get().partitionId(), 0
         last = np.array([end], own.dtype).tobytes()
         for batch in batches:
             ids = [x + last for x in own.encode(batch["text"].to_pylist())]
@@ -45,9 +45,9 @@ def tokenized(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, ids binary, n bigint, part bigint, base bigint")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, path: str = TOKENIZER, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, path: str = TOKENIZER, end: int = END, memo: int = MEMO) -> DataFrame:
     """The pieces: doc_id, start, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset, and whether the document begins or ends there."""
-    found = written(tokenized(docs, path, end), "packing-ids")
+    found = written(tokenized(docs, path, end, memo), "packing-ids")
     totals = found.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the first pass
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

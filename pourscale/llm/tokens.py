@@ -3,7 +3,7 @@
 Where the tokenizer drops white space and ends words by a suffix, a text's ids are
 those of its white-space parts one after the other, so each part met before comes
 from a memo and the library encodes the new ones. Memos live as long as the Python
-worker and take at most ``MEMO`` bytes each; they change no result.
+worker and take at most ``memo`` bytes each, by default ``MEMO``; they change no result.
 Other tokenizers encode every text by the library alone.
 """
 
@@ -19,7 +19,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-MEMO = 32 << 20
+MEMO = 96 << 20
 #: Bytes that an entry takes besides its characters and ids.
 _ENTRY = 220
 #: Latin letters, then punctuation: two words for the tokenizer, the first in lower case.
@@ -32,12 +32,12 @@ _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_pr
 
 
 class _Memo(dict):
-    """A dictionary of at most half of MEMO bytes, and the one before it, whose entries come back when they are met again."""
+    """A dictionary of at most half of the given bytes, and the one before it, whose entries come back when they are met again."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
         self.before: dict[str, bytes] = {}
-        self.room = MEMO // 2
+        self.size = self.room = size // 2
 
     def again(self, key: str) -> bytes | None:
         found = self.before.get(key)
@@ -48,13 +48,13 @@ class _Memo(dict):
         if self.room < 0:
             self.before = dict(self)
             self.clear()
-            self.room = MEMO // 2
+            self.room = self.size
         self[key] = ids
         return ids
 
 
 class TextEncoder:
-    def __init__(self, path: str = TOKENIZER):
+    def __init__(self, path: str = TOKENIZER, memo: int = MEMO):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -63,8 +63,8 @@ class TextEncoder:
         first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_parts = bool(rules["model"].get("end_of_word_suffix")) and first.get("behavior") == "Removed" and first.get("invert") is True
         self.tokenize = self.library.model.tokenize
-        self.parts = _Memo()  # of white-space parts
-        self.words = _Memo()  # of pre-tokens
+        self.parts = _Memo(memo)  # of white-space parts
+        self.words = _Memo(memo)  # of pre-tokens
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -102,6 +102,6 @@ class TextEncoder:
 
 
 @cache
-def encoder(path: str = TOKENIZER) -> TextEncoder:
+def encoder(path: str = TOKENIZER, memo: int = MEMO) -> TextEncoder:
     """The worker's encoder of a tokenizer file."""
-    return TextEncoder(path)
+    return TextEncoder(path, memo)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -102,10 +102,21 @@ def one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", F.bround(x.cast("double"), 1))
 
 
+def usual_range(tier: Column) -> Column:
+    """The fair range of a tier as text: one of five, so no number is formatted for a row."""
+    short = lambda x: str(Decimal(str(x)).quantize(Decimal("0.1"), ROUND_HALF_EVEN))
+    low, high = _FIELDS.index("fair_low"), _FIELDS.index("fair_high")
+    spans = {row[0]: f"{short(row[low])}–{short(row[high])}×" for row in fv.TIERS}
+    out = F.lit(spans[fv.DEFAULT_TIER])
+    for name, text in spans.items():
+        out = F.when(tier == name, text).otherwise(out)
+    return out
+
+
 def insight_text(menu: Column, retail: Column, wholesale: Column, multiple: Column, tier: Column) -> Column:
     low, high = tier_value(tier, "fair_low"), tier_value(tier, "fair_high")
     m, w, r, x = whole(menu), whole(wholesale), whole(retail), one_decimal(multiple)
-    span = F.concat(one_decimal(low), F.lit("–"), one_decimal(high), F.lit("×"))
+    span = usual_range(tier)
     c = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.when(
         multiple.isNotNull(),

@@ -405,13 +405,6 @@ def parse_pipe_rows(lines: DataFrame, menu: str = "menu_id") -> DataFrame:
     return dedupe_entries(entries, menu)
 
 
-_FREE_DUAL = r"\$?(\d{1,3}(?:\.\d{2})?)\s*/\s*(\d{1,3}(?:\.\d{2})?)(?:\s*/\s*(\d{1,3}(?:\.\d{2})?))?(?:\s*$|\s*[\(\[])"
-_FREE_SINGLE = r"\$(\d{2,5}(?:\.\d{2})?)\s*(?:$|[\(\[])"
-_FREE_INTRO = (
-    r"(?iU)^(here'?s?\s+what|here are|the\s+menu|wines?\s+list|rosé?|red|white|sparkling|dessert|fortified)\b.*$"
-)
-
-
 def free_row_facts(lines: DataFrame) -> DataFrame:
     """Bulleted prose lines with the glass marker each one sets."""
     line = F.trim(F.regexp_replace(F.trim("line"), r"^[\-\*•·▸►\d\.]+\s*", ""))
@@ -433,21 +426,21 @@ def parse_free_rows(lines: DataFrame, menu: str = "menu_id") -> DataFrame:
     """``• Name — Place 2019 — $20/38`` prose rows to entries."""
     rows = with_sections(free_row_facts(lines), menu).where("marker is null")
     line = F.col("line")
-    intro = F.regexp_like(line, F.lit(_FREE_INTRO)) & ~F.regexp_like(line, F.lit(r"\$?\d{2,}"))
+    intro = F.regexp_like(line, F.lit(fv.FREE_INTRO)) & ~F.regexp_like(line, F.lit(r"\$?\d{2,}"))
     num = lambda pattern, i: F.regexp_extract(line, pattern, i).try_cast("decimal(12,2)")
-    a, b, c = (num(_FREE_DUAL, i) for i in (1, 2, 3))
-    dual, single = F.regexp_like(line, F.lit(_FREE_DUAL)), F.regexp_like(line, F.lit(_FREE_SINGLE))
+    a, b, c = (num(fv.FREE_DUAL, i) for i in (1, 2, 3))
+    dual, single = F.regexp_like(line, F.lit(fv.FREE_DUAL)), F.regexp_like(line, F.lit(fv.FREE_SINGLE))
     rising = F.coalesce((a < b) & (b < c), F.lit(False))
     before = lambda p: F.trim(F.regexp_extract(line, r"(?s)^(.*?)" + p, 1))
     out = (
         rows.where(~intro)
-        .withColumn("price", F.when(dual, F.when(rising, c).otherwise(F.least(a, b, c))).when(single, num(_FREE_SINGLE, 1)))
+        .withColumn("price", F.when(dual, F.when(rising, c).otherwise(F.least(a, b, c))).when(single, num(fv.FREE_SINGLE, 1)))
         .withColumn(
             "_section",
             F.when(dual, F.when(rising, "bottle").otherwise("glass")).otherwise(F.col("section")),
         )
         .where(_in_menu_band(F.col("price")))
-        .withColumn("_t", F.when(dual, before(_FREE_DUAL)).otherwise(before(_FREE_SINGLE)))
+        .withColumn("_t", F.when(dual, before(fv.FREE_DUAL)).otherwise(before(fv.FREE_SINGLE)))
     )
     year = r"(?iU)\b((?:19|20)\d{2}|NV|MV)\b"
     mark = F.upper(F.regexp_extract("_t", year, 1))

@@ -110,7 +110,6 @@ def extract_offers_json(df: DataFrame, payload: Column, keep: list[str], band=fv
     ).where(F.col("price").between(*band))
 
 
-_LD_BLOCK = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _LD_OFFER = "map<string, string>"
 _LD_ITEM = (
     "struct<`@type`: string, name: string, url: string, `@id`: string, offers: string, "
@@ -124,7 +123,7 @@ def extract_offers_jsonld(df: DataFrame, html: Column, keep: list[str]) -> DataF
     A block may be one product, a list, or an ItemList; offers may be one object
     or a list.  Blocks that are not JSON give nothing.
     """
-    blocks = df.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(_LD_BLOCK), 1)).alias("_b"))
+    blocks = df.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(fv.LD_BLOCK), 1)).alias("_b"))
     array_of = lambda c, t: F.when(F.startswith(F.ltrim(c), F.lit("[")), c).otherwise(F.concat(F.lit("["), c, F.lit("]")))
     tops = blocks.select(*keep, F.explode(F.from_json(array_of(F.col("_b"), None), f"array<{_LD_ITEM}>")).alias("t"))
     listed = F.when(
@@ -146,10 +145,6 @@ def extract_offers_jsonld(df: DataFrame, html: Column, keep: list[str]) -> DataF
     ).where("name <> '' and external_id <> ''")
 
 
-_LINKED = r'(?s)href="(/[^"]+)"><h2[^>]*>([^<]+)</h2>.*?\$([\d,]+(?:\.\d{2})?)'
-_HEADED = r"(?s)<h[23][^>]*>([^<]{8,80})</h[23]>.*?\$([\d,]+(?:\.\d{2})?)"
-
-
 def extract_offers_html(df: DataFrame, html: Column, vintage: Column, keep: list[str]) -> DataFrame:
     """Name and price pairs of a product page; headings without link only when no linked one counts."""
 
@@ -162,19 +157,16 @@ def extract_offers_html(df: DataFrame, html: Column, vintage: Column, keep: list
         named = lambda s: vintage.isNull() | F.contains(s["name"], vintage.cast("string"))
         return F.filter(zipped, lambda s: s["price"].between(*fv.RETAIL_PRICE_BAND) & named(s))
 
-    linked = pairs(_LINKED, 2, 3)
+    linked = pairs(fv.LINKED_PRICE, 2, 3)
     out = df.withColumn("_linked", linked)
-    chosen = F.when(F.size("_linked") > 0, F.col("_linked")).otherwise(pairs(_HEADED, 1, 2))
+    chosen = F.when(F.size("_linked") > 0, F.col("_linked")).otherwise(pairs(fv.HEADED_PRICE, 1, 2))
     return out.select(*keep, F.posexplode(chosen).alias("offer_no", "_o")).select(*keep, "offer_no", "_o.*")
 
 
-_ATTR = r"""(?i)data-price=["'](\d+\.?\d*)["']|"price":\s*"?(\d+\.?\d*)"?|class="[^"]*price[^"]*"[^>]*>\s*\$?([\d,]+\.?\d*)"""
-
-
 def extract_prices_html(df: DataFrame, html: Column, keep: list[str]) -> DataFrame:
     """Bare prices of a page: JSON-LD offers, else price attributes and price elements."""
     ld = extract_offers_jsonld_prices(html)
-    groups = [F.regexp_extract_all(html, F.lit(_ATTR), i) for i in (1, 2, 3)]
+    groups = [F.regexp_extract_all(html, F.lit(fv.ATTRIBUTE_PRICE), i) for i in (1, 2, 3)]
     first = F.transform(
         F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]),
         lambda z: F.concat_ws("", z["g0"], z["g1"], z["g2"]),
@@ -189,7 +181,7 @@ def extract_prices_html(df: DataFrame, html: Column, keep: list[str]) -> DataFra
 
 def extract_offers_jsonld_prices(html: Column) -> Column:
     as_list = lambda c: F.when(F.startswith(F.ltrim(c), F.lit("[")), c).otherwise(F.concat(F.lit("["), c, F.lit("]")))
-    blocks = F.regexp_extract_all(html, F.lit(_LD_BLOCK), 1)
+    blocks = F.regexp_extract_all(html, F.lit(fv.LD_BLOCK), 1)
     tops = F.flatten(F.transform(blocks, lambda b: F.coalesce(
         F.from_json(as_list(b), "array<struct<offers: string>>"), F.array().cast("array<struct<offers: string>>"))))
     offers = F.flatten(F.transform(tops, lambda t: F.coalesce(
@@ -201,8 +193,7 @@ def extract_offers_jsonld_prices(html: Column) -> Column:
 def parse_cards(df: DataFrame, text: Column, url: Column, keep: list[str]) -> DataFrame:
     """Result-card text blocks: name, price line, rating line, merchants, external id."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda l: F.trim(l)), lambda l: l != "")
-    price_line = r"^[$€£¥]([\d,]+(?:\.\d{1,2})?)$|^([\d,]+(?:\.\d{1,2})?)\s*[$€£¥]$"
-    priced = F.filter("_l", lambda l: F.regexp_like(l, F.lit(price_line)))
+    priced = F.filter("_l", lambda l: F.regexp_like(l, F.lit(fv.CARD_PRICE)))
     rated = F.filter("_l", lambda l: F.regexp_like(l, F.lit(r"^[1-4]\.[0-9]$")))
     anywhere = F.regexp_extract(text, r"[$€£¥]([\d,]+(?:\.\d{1,2})?)", 1)
     ext = F.coalesce(

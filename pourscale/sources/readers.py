@@ -121,7 +121,8 @@ def extract_offers_jsonld(df: DataFrame, html: Column, keep: list[str]) -> DataF
     """JSON-LD products in a page: name, external id, price, rating, year.
 
     A block may be one product, a list, or an ItemList; offers may be one object
-    or a list.  Blocks that are not JSON give nothing.
+    or a list.  Blocks that are not JSON give nothing.  The year is the last one
+    of the name: an earlier number of that form belongs to the name itself.
     """
     blocks = df.select(*keep, F.explode(F.regexp_extract_all(html, F.lit(fv.LD_BLOCK), 1)).alias("_b"))
     array_of = lambda c, t: F.when(F.startswith(F.ltrim(c), F.lit("[")), c).otherwise(F.concat(F.lit("["), c, F.lit("]")))
@@ -140,7 +141,7 @@ def extract_offers_jsonld(df: DataFrame, html: Column, keep: list[str]) -> DataF
         *keep, name.alias("name"), ext.alias("external_id"), F.round(price, 2).cast("decimal(12,2)").alias("price"),
         F.col("i.aggregateRating.ratingValue").try_cast("double").alias("rating"),
         F.coalesce("i.aggregateRating.reviewCount", "i.aggregateRating.ratingCount").try_cast("int").alias("ratings_count"),
-        F.regexp_extract(name, r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("vintage"),
+        F.try_element_at(F.regexp_extract_all(name, F.lit(r"\b((?:19|20)\d{2})\b"), 1), F.lit(-1)).cast("int").alias("vintage"),
         px.price_tier(F.coalesce(price, F.lit(0.0))).alias("price_tier"),
     ).where("name <> '' and external_id <> ''")
 

@@ -10,6 +10,7 @@ from pourscale.operators.estimates import effective_price, real_source_filter, r
 from pourscale.operators.markup import analyze_markup
 from pourscale.operators.menu import parse_menu
 from pourscale.operators.match import fuzzy_match, match_key, match_texts, query_profiles, text_key
+from pourscale.session import staged
 
 _LIVE = {"avg_retail": "live_avg", "min_retail": "live_min", "max_retail": "live_max",
          "estimated_wholesale": "live_wholesale", "price_tier": "live_tier", "num_listings": "live_listings"}
@@ -152,8 +153,12 @@ def project_result_row(analyzed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def analyze_menus(lines: DataFrame, index: DataFrame, market: DataFrame, menu: str = "menu_id", **options) -> DataFrame:
-    """From numbered menu lines (``scan_menu_text``) to result rows, one for every entry found."""
-    entries = parse_menu(lines, menu)
+    """From numbered menu lines (``scan_menu_text``) to result rows, one for every entry found.
+
+    The entries are written once: the analysis reads them several times, and without that its plan would hold
+    all passes over the lines as often, more than a driver can keep.
+    """
+    entries = staged(parse_menu(lines, menu).select(menu, "line_no", "step", "sub", "desc", "vintage", "menu_price"), "menu-entries")
     items = entries.select(
         menu, "line_no", "step", "sub", F.concat_ws("-", menu, "line_no", "step", "sub").alias("item_id"), F.col("desc").alias("menu_text"),
         F.col("menu_price").cast("decimal(12,2)").alias("menu_price"), F.col("vintage").try_cast("int").alias("given_vintage"),

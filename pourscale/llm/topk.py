@@ -8,7 +8,8 @@ least values and that sum plus the lists' present values. Rows whose upper bound
 below the k-th largest lower bound are outsiders; reading stops when only ``few`` rows
 can still qualify or the lists end, and their scores are then resolved. The best k of
 a block's rows meet those of the other blocks by query. Nothing is looked up by row before that: a row's sum grows only
-as its entries come up in the lists.
+as its entries come up in the lists. The queries of a block read to the same depths, so the
+bounds of all of them are made at once.
 
 Ties go to the smaller id, and bounds keep rows that may tie. Vectors of unequal
 length are compared as if filled with zeros. Scores are exact up to 2**63.
@@ -29,8 +30,9 @@ from pourscale.llm.vectors import matrix
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 FEW = 64
-#: Parts of a list that are read between two comparisons of bounds.
+#: Bounds are compared when so many of a list's STRIDES parts have been read.
 STRIDES = 16
+STOPS = (1, 2, 4, 8, 12, 14, 15, 16)
 
 
 class SortedLists:
@@ -38,49 +40,53 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, self.order, axis=0)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, order, axis=0)
+        self.place = np.empty(rows.shape, np.int32)  # where in each list a row comes up
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(rows), dtype=np.int32)[:, None], rows.shape), axis=0)
         self.entries_read = 0  # entries of all lists, over all searches
 
     def search(self, query: np.ndarray, own: int, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best rows but the query's own.
+        """The ids and scores of the k best rows but the query's own."""
+        return self.search_all(query[None], np.array([own]), k, few)[0]
 
-        Lists are read from the end that helps the query, by strides. Of what has been read, each row has a partial
-        sum and a mask of the lists in which it was met; bounds come from these and the lists' present and least values.
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best rows but its own.
+
+        Lists are read from the end that helps a query, all queries to the same depth, so one product of matrices makes
+        the bounds of all of them. A row counts with its value in the lists where it was met; in the others with the
+        list's present value for the upper bound and its least one for the lower.
         """
-        n, used = len(self.rows), np.flatnonzero(query)
-        if n <= max(few, k) or not len(used):
-            return self._best(np.flatnonzero(self.ids != own), query, k)
-        weights = query[used]
-        at, column = np.arange(len(used)), np.where(weights > 0, -1, 1)
-        least = weights * np.where(weights > 0, self.values[0, used], self.values[-1, used])
-        partial, met, floor = np.zeros(n, query.dtype), np.zeros((n, len(used)), query.dtype), np.full(n, least.sum())
-        alive = self.ids != own
-        stride, depth = max(1, -(-n // STRIDES)), 0
-        while depth < n:
-            steps = np.arange(depth, min(n, depth + stride))
-            places = np.where(column == -1, n - 1 - steps[:, None], steps[:, None])  # entry by list
-            rows, parts = self.order[places, used], weights * self.values[places, used]
-            self.entries_read += rows.size
-            partial += self._sums(rows, parts)
-            floor += self._sums(rows, parts - least)
-            met[rows, at] = 1
-            depth += len(steps)
-            present = parts[-1]
-            upper = partial + (present.sum() - met @ present)
-            lower = np.where(alive, floor, floor.min() - 1)
-            alive &= upper >= np.partition(lower, n - k)[n - k]
-            if alive.sum() <= max(few, k):
+        n, used = len(self.rows), np.count_nonzero(queries, axis=1)
+        found = [None] * len(queries)
+        going = np.flatnonzero((used > 0) & (n > max(few, k)))
+        # a list read from its top, and the same list read from its bottom
+        weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+        alive = self.ids != own[going, None]
+        depth = 0
+        for until in self._depths():
+            if not len(going):
                 break
-        return self._best(np.flatnonzero(alive), query, k)
-
-    def _sums(self, rows: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """The sum of the parts of each row."""
-        if parts.dtype == np.float64:
-            return np.bincount(rows.ravel(), parts.ravel(), len(self.rows))
-        out = np.zeros(len(self.rows), parts.dtype)  # whole numbers too large for a double
-        np.add.at(out, rows, parts)
-        return out
+            self.entries_read += int(used[going].sum()) * (until - depth)
+            depth = until
+            high, low = self.values[n - depth], self.values[depth - 1]
+            upper = weights[going] @ np.hstack([np.maximum(self.rows, high), np.minimum(self.rows, low)]).T
+            lower = weights[going] @ np.hstack([
+                np.where(self.place >= n - depth, self.rows, self.values[0]), np.where(self.place < depth, self.rows, self.values[-1])
+            ]).T
+            lower = np.where(alive, lower, lower.min(1, keepdims=True) - 1)
+            alive &= upper >= np.partition(lower, n - k, axis=1)[:, n - k, None]
+            open_ = alive.sum(1) > max(few, k)
+            for i in np.flatnonzero(~open_):
+                found[going[i]] = self._best(np.flatnonzero(alive[i]), queries[going[i]], k)
+            going, alive = going[open_], alive[open_]
+        for i, at in enumerate(going):
+            found[at] = self._best(np.flatnonzero(alive[i]), queries[at], k)
+        return [self._best(np.flatnonzero(self.ids != own[i]), queries[i], k) if f is None else f for i, f in enumerate(found)]
+
+    def _depths(self) -> list[int]:
+        """Depths at which bounds are compared: close together near either end, where they part first and last."""
+        return sorted({max(1, -(-len(self.rows) * s // STRIDES)) for s in STOPS}) if len(self.rows) else []
 
     def _best(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.rows[at] @ query
@@ -98,7 +104,7 @@ def _search_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.Data
         both = both.astype(np.float64)  # exact, and faster
     own = queries["id"].to_numpy(np.int64)
     lists = SortedLists(rows["id"].to_numpy(np.int64), both[len(queries) :])
-    found = [lists.search(query, id_, k) for query, id_ in zip(both[: len(queries)], own)]
+    found = lists.search_all(both[: len(queries)], own, k)
     return pd.DataFrame({
         "query_id": np.repeat(own, [len(f[0]) for f in found]),
         "id": np.concatenate([f[0] for f in found] or [[]]).astype(np.int64), "score": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64),

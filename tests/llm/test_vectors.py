@@ -62,6 +62,23 @@ def test_every_entry_is_read_where_bounds_never_part():
     assert ids.tolist() == [0, 1, 2, 4, 5] and (got == 3).all() and lists.entries_read == 2000
 
 
+def test_queries_read_together_find_what_each_finds_alone():
+    rng = np.random.default_rng(2)
+    for dtype in (np.float64, np.int64):
+        rows = np.round(rng.normal(size=(900, 5)) * 40).astype(dtype)
+        queries = np.round(rng.normal(size=(40, 5)) * 40).astype(dtype)
+        queries[7], queries[8, 1:], own = 0, 0, np.arange(40) * 3
+        together, read = topk.SortedLists(np.arange(900), rows), 0
+        for query, id_, (ids, scores) in zip(queries, own, together.search_all(queries, own, 5)):
+            whole_scores = rows @ query
+            wanted = [i for i in np.lexsort((np.arange(900), -whole_scores)) if i != id_][:5]
+            assert ids.tolist() == wanted and (scores == whole_scores[wanted]).all()
+            alone = topk.SortedLists(np.arange(900), rows)
+            alone.search(query, id_, 5)
+            read += alone.entries_read
+        assert together.entries_read == read < 900 * np.count_nonzero(queries)
+
+
 def test_top_k_of_few_large_and_empty(spark):
     big = [(0, [1e6, 1e6]), (1, [1e6, -3e6]), (2, [])]
     got = [tuple(r) for r in topk.top_k(whole(spark, big), F.col("id") == 0, 5).orderBy("rank").collect()]

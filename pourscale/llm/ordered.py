@@ -71,15 +71,17 @@ def join_by(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     return some.unionByName(rest)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, how: str = "inner", each: int = 256) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], by: str, how: str = "inner", each: int = 256, counts: DataFrame | None = None) -> DataFrame:
     """rows joined with table, which has each key once; rows should be cheap to read twice and keys not null.
 
     Of the keys with over ``each`` rows the HOT most frequent ones are dealt out into shares by the hash of column
     ``by``, and their rows of table are repeated for every share, so no task has to take all rows of a frequent
     key. The driver sees the hashes of these keys and the rows of the largest: that gives the number of shares.
+    counts: key and n, the rows of each frequent key, where these are known already.
     """
     key = [key] if isinstance(key, str) else key
-    hot = rows.groupBy(_of(key).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > each).orderBy(F.desc("n"), "h").limit(HOT).collect()
+    known = rows.groupBy(_of(key).alias("h")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(_of(key).alias("h"), "n")
+    hot = known.where(F.col("n") > each).orderBy(F.desc("n"), "h").limit(HOT).collect()
     if not hot:
         return rows.join(table, key, how)
     frequent, shares = _of(key).isin([r["h"] for r in hot]), min(HOT, -(-hot[0]["n"] // each))

@@ -28,14 +28,39 @@ SLOTS = 1 << 17
 ROUNDS = 3
 
 
+def briefed(sets: DataFrame) -> DataFrame:
+    """sets (node, members) with n and brief, the distinct first 16 bits of the members: a quarter of their bytes."""
+    return sets.select("node", "members", F.size("members").alias("n"), F.array_distinct(F.transform("members", lambda x: F.shiftright(x, 48).cast("smallint"))).alias("brief"))
+
+
+def _paired(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs a, b with these columns of either set, named by its side."""
+    side = lambda s: sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    return spread_join(pairs, side("a"), "a", "b").join(side("b"), "b")
+
+
+def close(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """pairs a, b without those that the first 16 bits of their members (``briefed``) rule out.
+
+    Shared members have shared first bits, and as many more as a set has than it has first bits may hide behind
+    these: that bounds what two sets share from above.
+    """
+    over, under = least
+    both = _paired(pairs, sets, ["n", "brief"])
+    most = F.size(F.array_intersect("brief_a", "brief_b")) + F.least(F.col("n_a") - F.size("brief_a"), F.col("n_b") - F.size("brief_b"))
+    return both.where(under * most >= over * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Those pairs a < b whose sets (node, members) have a Jaccard similarity of least (a fraction) or more."""
+    """Those pairs a < b whose sets (``briefed``) have a Jaccard similarity of least (a fraction) or more.
+
+    Whole sets travel only to the pairs that are ``close``.
+    """
     over, under = least
     pairs = written(pairs.select("a", "b").distinct(), "links-pairs")
-    both = spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a", "b")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(under * shared >= over * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    both = _paired(written(close(pairs, sets, least), "links-close"), sets, ["members"])
+    shared = F.size(F.array_intersect("members_a", "members_b"))
+    return both.where(under * shared >= over * (F.size("members_a") + F.size("members_b") - shared)).select("a", "b")
 
 
 def rare(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -93,14 +118,15 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: tu
     over, under = least
     fits = lambda m, n: (under * F.least(m, n) >= over * F.greatest(m, n))  # noqa: E731  # else the sizes alone forbid the similarity
     dealt = written(nodes.select("node", "n", F.explode("keys").alias("key")), "links-dealt")
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    left = written(spread_join(dealt, sizes, "key", "node").withColumn("root", F.col("node")), "links-keys")
-    sets = written(sets_of(left.select("node").distinct()), "links-sets")
+    sizes = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "links-sizes")
+    left = written(spread_join(dealt, sizes, "key", "node", counts=sizes.select("key", F.col("size").alias("n"))).withColumn("root", F.col("node")), "links-keys")
+    sets = written(briefed(sets_of(left.select("node").distinct())), "links-sets")
     edges = None
     for drawn in range(ROUNDS):
         heads = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(drawn)), "node", "n", "root")).alias("head"))
         star = spread_join(left, heads, "key", "node").where((F.col("root") != F.col("head.root")) & fits(F.col("n"), F.col("head.n")))
-        star = verified(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")), sets, least)
+        star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+        star = verified(star, sets, least)
         edges = written(star if edges is None else edges.unionByName(star), "links-star")
         # of what is joined, a tree is enough; keys whose nodes are all in one component need no more pairs
         roots = written(components(edges), "links-roots")

@@ -80,6 +80,25 @@ def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     assert sum(seen) <= superminhash.BANDS * setlinks.ROUNDS * len(given), seen
 
 
+def test_pairs_ruled_out_by_first_bits_need_no_whole_sets(spark):
+    draw, sets = np.random.default_rng(4), []
+    for i in range(40):
+        made = np.unique(draw.integers(-(1 << 63), 1 << 63, 300))
+        if i >= 30:  # members behind the same first bits
+            made = (made >> 56 << 56) + np.arange(len(made))
+        keep = [0, 3, 20, 60, 120][i % 5]
+        other = np.concatenate([made[keep:], draw.integers(-(1 << 63), 1 << 63, keep)])
+        sets += [made.tolist(), np.unique(other).tolist()]
+    frame = setlinks.briefed(spark.createDataFrame(list(enumerate(sets)), "node bigint, members array<bigint>")).cache()
+    given = [(i, i + 1) for i in range(0, 80, 2)] + [(i, i + 2) for i in range(0, 78, 2)]
+    pairs, least = spark.createDataFrame(given, "a bigint, b bigint"), (85, 100)
+    like = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in given}
+    left = {tuple(r) for r in setlinks.close(pairs, frame, least).collect()}
+    similar = {p for p, s in like.items() if s >= 0.85}
+    assert similar <= left and {tuple(r) for r in setlinks.verified(pairs, frame, least).collect()} == similar
+    assert all(like[p] > 0.8 or min(p) >= 60 for p in left)
+
+
 def test_empty_table(spark):
     assert found(spark, empty(spark)) == []
 

@@ -1,10 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity SimHash fingerprints differ in about 10 of 64 bits, further than
-pigeonhole blocks reach, so candidates come from MinHash: ``BANDS`` keys a text, each
-of the least values of ``ROWS`` hash functions over its shingles. Two texts of
-similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8.
-Every link is verified on the shingle sets themselves, as ``setlinks`` tells.
+Candidates come from op9's SimHash first: texts whose fingerprints differ in at most two
+of 64 bits, by pigeonhole blocks (``simhash_pairs``). At a similarity of 0.8 fingerprints
+differ in about 10 bits, further than such blocks reach, so MinHash adds the candidates
+beyond: ``BANDS`` keys a text, each of the least values of ``ROWS`` hash functions over its
+shingles. Two texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS:
+0.99993 at 0.8. Every link of either is verified on the shingle sets themselves, in one
+step, as ``setlinks`` tells.
 
 Texts of one shingle set are one node.
 
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from pourscale.llm.common import text_digest, unused, written
 from pourscale.llm.ordered import spread_join
 from pourscale.llm.setlinks import links
-from pourscale.llm.simhash import components
+from pourscale.llm.simhash import components, fingerprint
+from pourscale.llm.simhash import links as print_links
 from pourscale.llm.superminhash import shingles
 
 SEED = 42
@@ -49,19 +52,33 @@ def band_keys(found: np.ndarray) -> list[int]:
 def _signatures(texts: pd.Series) -> pd.DataFrame:
     made = [shingles(t) for t in texts]
     nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in made]
-    return pd.DataFrame({"node": nodes, "n": [len(x) for x in made], "keys": [band_keys(x) for x in made]})
+    return pd.DataFrame({"node": nodes, "n": [len(x) for x in made], "keys": [band_keys(x) for x in made], "fp": [fingerprint(t) for t in texts]})
 
 
 def _sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t).view(np.int64) for t in texts])
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes (of rows with node and fp) whose fingerprints link; they connect all that do.
+
+    A fingerprint's smallest node stands for its nodes, which are paired with it.
+    """
+    held = written(rows.groupBy("fp", "node").agg(F.count(F.lit(1)).alias("rows")).select("fp", "node"), "copies-held")
+    prints = written(held.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "copies-prints")
+    several = prints.where("n > 1").select("fp", "first", "n")
+    same = spread_join(held, several.drop("n"), "fp", "node", counts=several.select("fp", "n")).where("node <> first").select("node", "first")
+    of = lambda side, node: prints.select(F.col("fp").alias(side), F.col("first").alias(node))
+    near = print_links(prints.select("fp")).join(of("a", "node"), "a").join(of("b", "first"), "b").where("node <> first").select("node", "first")
+    return same.unionByName(near).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, digest, component_id and first_digest for each row of docs.
 
     component_id is the smallest doc_id of the component, first_digest the smallest digest of its texts.
     """
-    found = docs.select("doc_id", text_digest().alias("digest"), F.pandas_udf(_signatures, "node bigint, n bigint, keys array<bigint>")("text").alias("found"))
+    found = docs.select("doc_id", text_digest().alias("digest"), F.pandas_udf(_signatures, "node bigint, n bigint, keys array<bigint>, fp bigint")("text").alias("found"))
     rows = written(found.select("doc_id", "digest", "found.*"), "copies-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
     nodes = written(rows.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copies-nodes")
@@ -73,7 +90,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def sets_of(wanted: DataFrame) -> DataFrame:
         return texts.join(wanted, "node").select("node", F.pandas_udf(_sets, "array<bigint>")("text").alias("members"))
 
-    roots = written(components(links(nodes.select("node", "n", "keys"), sets_of, LEAST)), "copies-components")
+    close = written(simhash_pairs(rows.where("n > 0").select("fp", "node")), "copies-close")
+    roots = written(components(links(nodes.select("node", "n", "keys"), sets_of, LEAST, also=close)), "copies-components")
     joined = nodes.join(roots, "node")
     firsts = joined.groupBy("root").agg(F.min("first").alias("least"))
     joined = joined.join(firsts, "root").select("node", "least")

@@ -110,23 +110,27 @@ def sharing(firsts: DataFrame, least: tuple[int, int]) -> DataFrame:
     return both.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: tuple[int, int], bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: tuple[int, int], bucket: int = BUCKET, *, also: DataFrame | None = None) -> DataFrame:
     """Pairs a < b of similar nodes that connect all that are linked.
 
-    nodes: node, n (members of its set) and keys; sets_of gives node and members for a table of nodes.
+    nodes: node, n (members of its set) and keys; sets_of gives node and members for a table of nodes. also: pairs
+    a < b that are compared in the first round, whether or not they share a key.
     """
     over, under = least
     fits = lambda m, n: (under * F.least(m, n) >= over * F.greatest(m, n))  # noqa: E731  # else the sizes alone forbid the similarity
     dealt = written(nodes.select("node", "n", F.explode("keys").alias("key")), "links-dealt")
     sizes = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "links-sizes")
     left = written(spread_join(dealt, sizes, "key", "node", counts=sizes.select("key", F.col("size").alias("n"))).withColumn("root", F.col("node")), "links-keys")
-    sets = written(briefed(sets_of(left.select("node").distinct())), "links-sets")
+    wanted = left.select("node")
+    if also is not None:
+        wanted = wanted.unionByName(also.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = written(briefed(sets_of(wanted.distinct())), "links-sets")
     edges = None
     for drawn in range(ROUNDS):
         heads = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(drawn)), "node", "n", "root")).alias("head"))
         star = spread_join(left, heads, "key", "node").where((F.col("root") != F.col("head.root")) & fits(F.col("n"), F.col("head.n")))
         star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-        star = verified(star, sets, least)
+        star = verified(star if drawn or also is None else star.unionByName(also.select("a", "b")), sets, least)
         edges = written(star if edges is None else edges.unionByName(star), "links-star")
         # of what is joined, a tree is enough; keys whose nodes are all in one component need no more pairs
         roots = written(components(edges), "links-roots")

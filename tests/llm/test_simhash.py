@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 from tables import CLASHING, documents, empty
 
 import corpus_pipeline
@@ -123,6 +124,31 @@ def test_near_copies_equal_brute_force_on_edited_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(parent))
 
 
+def test_near_copies_take_simhash_links_that_share_no_key(spark):
+    rng = random.Random(13)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    prints = [c ^ (1 << rng.randrange(64)) for c in centres for _ in range(6)] + centres + [rng.getrandbits(64) for _ in range(4)] + centres[:1]
+    signed = [(p - (1 << 64) if p >> 63 else p, node) for node, p in enumerate(prints)]
+    top = groups(set(prints))
+    pairs = nearcopies.simhash_pairs(spark.createDataFrame(signed + signed[:5], "fp bigint, node bigint")).cache()
+    least = {}
+    for node, p in enumerate(prints):
+        least.setdefault(top[p], node)
+    roots = {r["node"]: r["root"] for r in nearcopies.components(pairs).collect()}
+    assert all(roots.get(node, node) == least[top[p]] for node, p in enumerate(prints))
+    # nodes without any key are linked by these pairs where their sets are similar, and only there
+    sets = {node: list(range(100 * (node % 2), 100 * (node % 2) + 50 + node)) for node in range(len(prints))}
+    frame = spark.createDataFrame(list(sets.items()), "node bigint, members array<bigint>")
+    bare = frame.select("node", F.size("members").cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("keys"))
+    linked = nearcopies.links(bare, lambda wanted: frame.join(wanted, "node"), (4, 5), also=pairs).collect()
+    like = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    wanted = [(r["a"], r["b"]) for r in pairs.collect() if like(r["a"], r["b"]) >= 0.8]
+    parent = {}
+    for a, b in sorted(wanted):
+        parent[b] = parent.get(a, a)
+    assert wanted and {n: r for n, r in parent.items() if n != r}.keys() == {r["b"] for r in linked}
+
+
 def test_near_copies_in_large_groups_lose_no_pair(spark):
     rng = random.Random(12)
     base = " ".join(f"w{i}" for i in range(300))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pourscale.functions import pricing as px
-from pourscale.functions.items import override_vintage, parse_distinct
 from pourscale.operators.estimates import effective_price, real_source_filter, regional_estimate
 from pourscale.operators.markup import analyze_markup
 from pourscale.operators.menu import parse_menu
-from pourscale.operators.match import fuzzy_match, match_key, match_texts, query_profiles, text_key
+from pourscale.operators.match import item_texts, join_texts, match_key, match_texts, query_profiles, text_key
 from pourscale.session import staged
 
 _LIVE = {"avg_retail": "live_avg", "min_retail": "live_min", "max_retail": "live_max",
@@ -84,9 +83,11 @@ def analyze_items(
     (``merge_sources``) or per wine_id and vintage (``merge_sources_by_year``): the
     item's year counts, else the row without a year.  ``live``: price per lower-case trimmed menu text.
     ``lookups``: reference, varietals, premiums, hints for the estimates.
+
+    All but the markup depends on an item's text, year and product only: it is found once for each of these, and
+    joined to the items in one step.
     """
-    parsed = parse_distinct(items)
-    parsed = parsed.withColumn("vintage", override_vintage(F.col("given_vintage"), F.col("parsed_vintage")))
+    parsed = item_texts(items)
     if "pinned_id" in items.columns:
         hit, rest = pin_products(parsed, index)
         found = hit.unionByName(identify_items(rest, index, top_k, gate))
@@ -98,7 +99,7 @@ def analyze_items(
         F.col("region").alias("cat_region"), F.col("varietal").alias("cat_varietal"),
         F.col("avg_retail_price").alias("cat_price"), F.col("price_tier").alias("cat_tier"),
     )
-    # one product table per id, joined once to the items
+    # one product table per id, joined once to the texts
     out = price_of_year(found.join(catalog.join(product_prices(market), "wine_id", "left"), "wine_id", "left"))
     if live is not None:
         side = live.select("lookup_id", *[F.col(a).alias(b) for a, b in _LIVE.items()])
@@ -112,7 +113,7 @@ def analyze_items(
         out = out.withColumns(
             {c: F.lit(None).cast("string" if c in ("est_tier", "est_source", "est_note") else "double") for c in _EST}
         )
-    out = effective_price(out, include_estimates)
+    out = join_texts(items, effective_price(out, include_estimates))
     # the catalog's own price is shown but not scored: only observed prices make a markup
     scored = F.col("price_source") != "catalog"
     out = out.withColumns(

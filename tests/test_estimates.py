@@ -47,3 +47,23 @@ def test_entries_of_menus_are_read_from_a_table(spark, monkeypatch):
     an.analyze_menus(lines, None, None)
     plan = made["items"]._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and made["items"].count() == 2
+
+
+def test_items_are_joined_once_with_what_their_texts_give(spark):
+    from pourscale.operators import match as mt
+
+    cat = spark.createDataFrame(
+        [("w1", 1, "Castle House Red Anvil", "Castle House", "napa", "merlot", "red", 20.0, "value", ["anvil red"])],
+        "id string, catalog_ordinal int, name string, producer string, region string, varietal string, wine_type string, avg_retail_price double, price_tier string, aliases array<string>",
+    )
+    market = spark.createDataFrame([("w1", 2015, 25.0, 20.0, 30.0, 15.0, "high")], "wine_id string, vintage int, avg_retail double, min_retail double, max_retail double, estimated_wholesale double, data_confidence string")
+    items = spark.createDataFrame([(i, "Castle House, Red Anvil", 60.0 + i, 2015 if i % 2 else None) for i in range(6)], "item_id int, menu_text string, menu_price double, given_vintage int")
+    out = an.analyze_items(items, mt.catalog_index(cat), market)
+    got = {r["item_id"]: (r["wine_id"], float(r["avg_retail"]), r["price_source"], r["vintage"]) for r in out.collect()}
+    assert got == {i: ("w1", 25.0, "market_live", 2015) if i % 2 else ("w1", 20.0, "catalog", None) for i in range(6)}
+    # prices and products are joined to the texts, which are parsed before: the items meet one join
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(n for n, line in enumerate(plan) if "menu_price" in line and "LogicalRDD" in line or "LocalRelation" in line and "menu_price" in line)
+    above = [line for n, line in enumerate(plan[:at]) if "Join" in line and depth(line) < min(depth(x) for x in plan[n + 1 : at + 1])]
+    assert len(above) == 1 and "_tk" in above[0]

@@ -132,6 +132,45 @@ def test_pruned_matches_equal_all_scored_matches(spark):
         assert got == want and len(got) > 30
 
 
+def test_profiles_of_one_text_are_cut_by_their_bonuses_before_they_meet_queries(spark):
+    # 60 products of one name differ in region, grape and style; their order in the catalog is not that of their bonuses
+    rows = [(f"w{i}", (i * 37) % 60, "red anvil", "castle house", ["napa", "rioja", "jura", "etna", ""][i % 5], "c", ["merlot", "syrah", ""][i % 3], ["red", "white"][i % 2], ["house anvil"]) for i in range(60)]
+    index = mt.catalog_index(spark.createDataFrame(rows, names(spark, 1).schema))
+    keys = [("red anvil", "castle house", r, v, t, y, True) for r in ("napa", None) for v in ("merlot", None) for t in ("red", None) for y in (True, False)]
+    queries = spark.createDataFrame([(*k, ["red", "anvil"]) for k in keys], "q string, q_gate string, q_region string, q_varietal string, q_type string, q_year boolean, q_gated boolean, q_tokens array<string>")
+    profiles, members = mt.catalog_profiles(index, 60)
+    kinds = queries.select(mt.text_key(mt.KIND).alias("_kind"), *mt.KIND).distinct()
+    met = kinds.crossJoin(profiles.select(mt.text_key(mt.P_TEXT).alias("_pt")).distinct())
+    assert mt.leading_profiles(met, profiles, 3).groupBy("_kind").count().agg(F.max("count")).first()[0] < profiles.count() / 2
+    got = {(r["_mk"], m["rank"]): (m["wine_id"], m["score"]) for r in mt.match_texts(queries, index, 3).collect() for m in r["matches"]}
+    every = mt.match_scores(queries, profiles).join(members, "profile_id").select(mt.text_key(mt.KEY).alias("_mk"), "wine_id", "score", "catalog_ordinal").collect()
+    want = {}
+    for key in {r["_mk"] for r in every}:
+        best = sorted((-r["score"], r["catalog_ordinal"], r["wine_id"]) for r in every if r["_mk"] == key)[:3]
+        want |= {(key, n + 1): (w, -s) for n, (s, _, w) in enumerate(best)}
+    assert got == want and len(got) == 3 * len(keys)
+
+
+def test_items_meet_only_the_results_of_their_texts(spark):
+    index = mt.catalog_index(names(spark))
+    texts = [f"{r['producer']}, {r['name']} 2015" for r in names(spark, 10).collect()] + ["zzz", None]
+    items = spark.createDataFrame([(i, texts[i % 12], 2012 if i % 5 == 0 else None) for i in range(120)], "item_id int, menu_text string, given_vintage int")
+    out = mt.match_items(items, index, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract" not in plan.lower()  # texts are parsed once, not for each item
+    parsed = parse_items(items).withColumn("vintage", F.coalesce("given_vintage", "parsed_vintage"))
+    row = lambda r: (r["item_id"], r["rank"], r["wine_id"], r["score"])
+    got = sorted(map(row, out.select("item_id", F.inline("matches")).collect()))
+    assert got == sorted(map(row, mt.fuzzy_match(parsed, index, 3, item_cols=["item_id"]).collect())) and len(got) > 100
+
+
+def test_alternatives_of_an_item_of_several_rows(spark):
+    of = lambda *ids: [(n + 1, w, 0.9 - n / 10, "high") for n, w in enumerate(ids)]
+    rows = spark.createDataFrame([(1, of("a", "b", "c")), (1, of("d", "e")), (2, of("f"))], "item_id int, matches array<struct<rank int, wine_id string, score double, confidence_level string>>")
+    got = {r["item_id"]: (r["wine_id"], r["confidence"], r["alternatives"]) for r in mt.best_and_alternatives(rows, "item_id").collect()}
+    assert got == {1: ("d", 0.9, ["b", "e", "c"]), 2: ("f", 0.9, [])}
+
+
 def test_search_scores_few_and_finds_what_all_scored_give(spark, monkeypatch):
     index = mt.catalog_index(names(spark, 400))
     asked = ["red anvil castle", "qqq", "economy hill", "cold"]

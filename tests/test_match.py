@@ -151,6 +151,22 @@ def test_profiles_of_one_text_are_cut_by_their_bonuses_before_they_meet_queries(
     assert got == want and len(got) == 3 * len(keys)
 
 
+def test_products_of_one_text_are_normalized_once(spark, monkeypatch):
+    # 90 products of 9 texts as given; those of one name differ in case only, so that 6 comparison texts are left
+    rows = [(f"w{i}", (i * 37) % 90, ["Red Anvil", "RED ANVIL", "bolt"][i % 3], "castle house", ["napa", None, ""][i // 3 % 3], "c", "", "red", ["x"]) for i in range(90)]
+    index = mt.catalog_index(spark.createDataFrame(rows, names(spark, 1).schema))
+    groups = {}
+    for r in index.withColumn("profile_id", mt.text_key(mt.PROFILE)).collect():
+        groups.setdefault(r["profile_id"], []).append((r["catalog_ordinal"], r["id"]))
+    counted, true = [], mt.catalog_index
+    monkeypatch.setattr(mt, "catalog_index", lambda catalog: (counted.append(catalog.count()), true(catalog))[1])
+    profiles, members = mt.catalog_profiles(index, 4)
+    assert counted == [9] and "regexp_replace" not in members._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["profile_id"]: (r["first_ordinal"], r["products"]) for r in profiles.collect()}
+    assert got == {k: (min(g)[0], len(g)) for k, g in groups.items()} and len(got) == 6
+    assert {tuple(r) for r in members.collect()} == {(k, w, n) for k, g in groups.items() for n, w in sorted(g)[:4]}
+
+
 def test_items_meet_only_the_results_of_their_texts(spark):
     index = mt.catalog_index(names(spark))
     texts = [f"{r['producer']}, {r['name']} 2015" for r in names(spark, 10).collect()] + ["zzz", None]
